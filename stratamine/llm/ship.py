@@ -11,8 +11,13 @@ from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per Spark context: a zip of the modules, served to executors by the driver, new ones included."""
+    """Once per Spark context: a zip of the modules, served to executors by the driver, new ones included.
+
+    Checkpoints go to the folder in spark.checkpoint.dir; only where none is set, as in tests, to one of our own.
+    """
     sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     if getattr(sc, "_llm_shipped", False):
         return
     here = Path(__file__).resolve().parent
