@@ -151,7 +151,7 @@ def list_entries(value: np.ndarray, edges: np.ndarray, rows: np.ndarray, r: Rule
             without = np.array(list(combinations(range(s), s - c)), np.int64).reshape(comb(s, c), s - c)
             sums = whole[:, None] - members[:, without].sum(2, dtype=np.uint64)
             out_row.append(np.repeat(own, sums.shape[1]))
-            out_key.append(mix(sums.ravel() + U64(c) * U64(0xC2B2AE3D27D4EB4F)))
+            out_key.append(mix(sums.ravel() + U64(c * 0xC2B2AE3D27D4EB4F % 2**64)))
             out_limit.append(np.full(sums.size, (r.num + r.den) * c // r.num))
     heavy = rows[size[rows] >= r.lowest]
     if len(heavy):
