@@ -1,4 +1,4 @@
-"""Sends this subpackage to the executors, which need not have it installed."""
+"""Sends the package to the executors, which need not have it installed."""
 
 from __future__ import annotations
 
@@ -18,13 +18,12 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    if getattr(sc, "_llm_shipped", False):
+    if getattr(sc, "_stratamine_shipped", False):
         return
-    here = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(), "stratamine_llm.zip")
+    root = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(), "stratamine.zip")
     with zipfile.ZipFile(path, "w") as z:
-        z.write(here.parent / "__init__.py", "stratamine/__init__.py")
-        for p in sorted(here.glob("*.py")):
-            z.write(p, f"stratamine/llm/{p.name}")
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path("stratamine", p.relative_to(root))))
     sc.addPyFile(path)
-    sc._llm_shipped = True
+    sc._stratamine_shipped = True
