@@ -122,11 +122,24 @@ def pack(code: np.ndarray) -> np.ndarray:
     return (code[:, 0::2] * CODES + code[:, 1::2]).astype(np.uint8)
 
 
+def parallel_weight(dim: int, share: float = FROM) -> float:
+    """How many times parallel error counts more than other error, less one, where only products of at least
+    ``share`` of a vector's norm matter and queries point anywhere alike.
+
+    The ratio is (dim - 1) * (I(dim - 2) / I(dim) - 1), I(n) being the integral of sin^n from 0 to arccos(share). It
+    is over 1 for any share over 0; its limit for many dimensions alone would fall below 1 for few.
+    """
+    if dim < 2:
+        return 0.0
+    edges = np.linspace(0, np.arccos(share), 4097)
+    sines = np.sin((edges[1:] + edges[:-1]) / 2)
+    return float((dim - 1) * ((sines ** (dim - 2)).sum() / (sines**dim).sum() - 1) - 1)
+
+
 def train(x: np.ndarray, lists: int) -> Index:
     """x: a sample [row, dim]."""
     dim = x.shape[1]
-    weight = (dim - 1) * FROM**2 / (1 - FROM**2) - 1 if dim > 1 else 0.0
-    index = Index(_kmeans(x, lists), np.zeros((ceil(dim / 2), CODES, 2)), max(0.0, weight))
+    index = Index(_kmeans(x, lists), np.zeros((ceil(dim / 2), CODES, 2)), parallel_weight(dim))
     rest, way = index.parts(x, index.place(x))
     for j in range(rest.shape[1]):
         index.words[j] = _kmeans(np.ascontiguousarray(rest[:, j]), CODES, 8)

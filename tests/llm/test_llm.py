@@ -261,6 +261,12 @@ def test_nearest(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_parallel_error_always_weighs_more():
+    assert abs(ann.parallel_weight(16, 0.0)) < 1e-6
+    assert all(ann.parallel_weight(d) > 0 for d in (2, 3, 16, 64, 1024))
+    assert abs(ann.parallel_weight(4096) + 1 - 4095 * 0.04 / 0.96) < 2
+
+
 def test_quantisation_weighs_parallel_error():
     x = np.random.default_rng(2).normal(size=(3000, 16))
     index = ann.train(x, 4)
