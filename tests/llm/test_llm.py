@@ -264,7 +264,9 @@ def test_nearest(spark):
 def test_parallel_error_always_weighs_more():
     assert abs(ann.parallel_weight(16, 0.0)) < 1e-6
     assert all(ann.parallel_weight(d) > 0 for d in (2, 3, 16, 64, 1024))
-    assert abs(ann.parallel_weight(4096) + 1 - 4095 * 0.04 / 0.96) < 2
+    angle = np.arccos(0.2)  # in two dimensions the integrals are plain
+    assert abs(ann.parallel_weight(2) + 2 - 2 * angle / (angle - 0.2 * np.sqrt(0.96))) < 1e-6
+    assert abs((ann.parallel_weight(4096) + 1) / (4095 * 0.04 / 0.96) - 1) < 0.02  # near its limit
 
 
 def test_quantisation_weighs_parallel_error():
