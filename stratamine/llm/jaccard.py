@@ -202,31 +202,50 @@ def _edges_of(label: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def connect(sets: list[np.ndarray], r: Rule, label: np.ndarray) -> np.ndarray:
-    """Labels (the least index) after all pairs are compared whose labels differ; sets are sorted and distinct."""
+    """Labels (the least index) after all pairs are compared whose labels differ; sets are sorted and distinct.
+
+    A pair whose labels differ has a side outside the most frequent label, so only those sets meet all the others.
+    Members that a single set holds are in no intersection, and members that the same sets hold count as one with a
+    weight.
+    """
     n = len(sets)
     size = np.array([len(x) for x in sets])
-    if n < 2 or not size.any():
+    rest = np.flatnonzero(label != np.bincount(label).argmax()) if n else np.zeros(0, np.int64)
+    if not len(rest) or not size.any():
         return label
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
     _, column = np.unique(flat, return_inverse=True)
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    width = 8192
-    cuts = np.searchsorted(column, np.arange(0, int(column[-1]) + width + 1, width))
-    for i in range(len(cuts) - 1):
-        part = slice(cuts[i], cuts[i + 1])
-        if cuts[i] < cuts[i + 1]:
-            grid = np.zeros((n, width), np.float32)
-            grid[owner[part], column[part] - i * width] = 1
-            both += grid @ grid.T
-    near = r.linked(both.astype(np.int64), size[:, None], size[None, :]) & (size > 0)[:, None] & (size > 0)
-    near |= label[:, None] == label[None, :]
+    within = np.zeros(n, bool)
+    within[rest] = True
+    met = np.bincount(column[within[owner]], minlength=column.max() + 1)
+    shared = (np.bincount(column) > 1) & (met > 0)
+    keep = shared[column]
+    column, owner = column[keep], owner[keep]
+    near = np.zeros((len(rest), n), bool)
+    if len(column):
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        begin = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+        held = np.add.reduceat(mix(owner.astype(np.uint64) + U64(1)), begin)
+        _, first, weight = np.unique(held, return_index=True, return_counts=True)
+        count = np.diff(np.r_[begin, len(column)])
+        both = np.zeros((len(rest), n), np.float32)
+        for low in range(0, len(first), 8192):
+            some = first[low : low + 8192]
+            grid = np.zeros((n, len(some)), np.float32)
+            grid[owner[concat_ranges(begin[some], count[some])], np.repeat(np.arange(len(some)), count[some])] = 1
+            both += (grid[rest] * weight[low : low + 8192].astype(np.float32)) @ grid.T
+        near = r.linked(both.astype(np.int64), size[rest][:, None], size[None, :]) & (size[rest] > 0)[:, None] & (size > 0)
+    group, now = label, label
     while True:
-        new = np.where(near, label[None, :], n).min(1)
-        if (new == label).all():
-            return label
-        label = new
+        new = np.minimum(now, np.where(near, now[rest][:, None], n).min(0))
+        new[rest] = np.minimum(new[rest], np.where(near, now[None, :], n).min(1))
+        least = np.full(n, n)
+        np.minimum.at(least, group, new)
+        new = least[group]
+        if (new == now).all():
+            return now
+        now = new
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
