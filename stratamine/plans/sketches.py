@@ -15,7 +15,7 @@ X = HASH60_SQL.format("user_id")
 
 
 def _h(x: str, modulus: int) -> str:
-    return f"((h.ha * ({x} % {PRIME}) + h.hb) % {modulus})"
+    return f"((h.ha * ({x} % {PRIME}) + h.hb) % {PRIME} % {modulus})"
 
 
 POSITIONS = f"(SELECT DISTINCT {_h(X, BITS)} AS position FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') CROSS JOIN {family_sql(BLOOM)})"
