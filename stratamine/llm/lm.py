@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratamine.llm.ship import settled
 from stratamine.llm.textvec import U64, combine, pieces, words
 from stratamine.llm.tokens import two
 
@@ -146,7 +147,7 @@ def score(df: DataFrame, held_out: Column, order: int = 2, deleted_share: int =
         columns = ([*kind, kind[0]], [*part, part[0]], [*block.tolist(), -1], [*made[0], tally[0]], [*made[1], tally[1]])
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(),) * 3 + (pa.binary(),) * 2, strict=True)], names=["kind", "part", "block", "main", "deleted"])
 
-    told = dealt.groupBy("block").applyInArrow(ask, ASK).groupBy("kind", "part").applyInArrow(tell, TELL).checkpoint()
+    told = settled(dealt.groupBy("block").applyInArrow(ask, ASK).groupBy("kind", "part").applyInArrow(tell, TELL))
     tally = told.where("block = -1 and kind = 1").select("main", "deleted")
     main_tokens = main_types = all_tokens = all_types = 0
     for a, b in tally.toLocalIterator():  # two pairs of numbers for each range

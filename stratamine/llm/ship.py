@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,3 +27,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path("stratamine", p.relative_to(root))))
     sc.addPyFile(path)
     sc._stratamine_shipped = True
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The checkpoint of df. What was shuffled for it leaves the executors' disks at once, for nothing reads it again."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint()  # a frame takes the setting over when it is made
+    finally:
+        conf.set(name, before)
