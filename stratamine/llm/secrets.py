@@ -80,6 +80,11 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             if a - word.end() > REACH:
                 break
             s = m[0]
+            if a == word.end():  # the rest of an identifier, unless something is assigned in it
+                cut = s.find("=") + 1
+                a, s = a + cut, s[cut:]
+                if not cut or len(s) < 16:
+                    continue
             if any(a < y and x < b for x, y in covered) or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
                 continue
             if novelty(s, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
