@@ -3,11 +3,13 @@ exact reranking.
 
 Vectors are dealt into lists by their nearest centre; what a centre leaves over is quantised in two dimensions at a
 time by 16 codewords each. The loss weighs the error along a vector more than across it, since only that part moves
-the largest inner products; codes and codewords minimise it in turns. A search goes through a share of the
-lists: for each query the table of its products with the codewords is read by the four-bit codes (two at a time), and
-the best by table are ranked by exact products of the original vectors, in the task that holds them.
+the largest inner products; codes and codewords minimise it in turns. A search goes through the codes of all lists,
+since the nearest of vectors without clusters lie in any of them: for each query the table of its products with the
+codewords is read by the four-bit codes (two at a time), and the best by table are ranked by exact products of the
+original vectors, in the task that holds them.
 
-Work is dealt in blocks: a bounded part of one list's vectors by a bounded part of the queries that probe it.
+Work is dealt in blocks: a bounded number of vectors, from whole lists or parts of long ones (cells), by a bounded part
+of the queries. Each cell gives its best by table; a block returns what is best in all of its cells.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ from stratamine.llm.ship import ship
 
 #: The largest number of vectors that centres and codewords are fitted on.
 SAMPLE = 20_000
-#: Vectors for each list, lists at most, vectors and queries of a block.
-LIST, MOST_LISTS, PART, QUERIES = 4096, 4096, 8192, 1024
+#: Vectors for each list, lists at most, vectors of a cell, vectors and queries of a block.
+LIST, MOST_LISTS, PART, BLOCK, QUERIES = 4096, 4096, 8192, 65_536, 1024
 CODES = 16
-#: Share of lists that a query goes through, and the least number.
-PROBE, LEAST = 0.15, 8
-#: Best by table that are ranked exactly, in each block.
+#: Best by table that are ranked exactly, in each cell.
 RERANK = 200
 #: The share of a vector's norm from which inner products matter; it sets the weight of parallel error.
 FROM = 0.2
@@ -186,7 +186,6 @@ def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", ve
     lists = int(min(MOST_LISTS, max(1, lengths["n"] // LIST)))
     index = train(np.array([r["vec"] for r in fitted]), lists)
     sent = spark.sparkContext.broadcast(index)
-    probes = min(lists, max(LEAST, ceil(PROBE * lists)))
 
     def place(batches):
         ix = sent.value
@@ -196,22 +195,18 @@ def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", ve
             codes = pack(ix.code(*ix.parts(x, at)))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "vec_id", "vec", "code"])
 
-    def probe(batches):
-        ix = sent.value
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            best = np.argsort(-(x @ ix.centres.T), axis=1, kind="stable")[:, :probes]
-            take = pa.array(np.repeat(np.arange(len(x)), probes))
-            yield pa.RecordBatch.from_arrays([pa.array(best.ravel(), pa.int32()), batch.column(0).take(take), batch.column(1).take(take)], names=["list", "query_id", "q"])
-
     coded = kept.mapInArrow(place, "list int, vec_id long, vec array<double>, code binary").checkpoint()
-    asked = rows.where(query).dropDuplicates(["vec_id", "vec"]).mapInArrow(probe, "list int, query_id long, q array<double>")
-    parts = {r["list"]: ceil(r["n"] / PART) for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
-    turns = {r["list"]: ceil(r["n"] / QUERIES) for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    number = lambda table: F.split(F.lit(",".join(str(table.get(i, 1)) for i in range(lists))), ",").cast("array<int>")[F.col("list")]
-    both = F.sequence(F.lit(0), number(turns) - 1), F.sequence(F.lit(0), number(parts) - 1)
-    blocks = coded.withColumn("part", F.pmod(F.xxhash64("vec_id"), number(parts)).cast("int")).withColumn("turn", F.explode(both[0]))
-    queries = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), number(turns)).cast("int")).withColumn("part", F.explode(both[1]))
+    asked = rows.where(query).dropDuplicates(["vec_id", "vec"]).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
+    sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
+    parts = [ceil(sizes.get(i, 0) / PART) or 1 for i in range(lists)]
+    fill = np.cumsum(np.concatenate([np.full(n, sizes.get(i, 0) / n) for i, n in enumerate(parts)]))
+    block_of = (np.maximum(fill - 1e-6, 0) // BLOCK).astype(int)  # of each cell
+    numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>")
+    turns = max(1, ceil(asked.count() / QUERIES))
+    part = F.pmod(F.xxhash64("vec_id"), numbers(parts)[F.col("list")]).cast("int")
+    cells = coded.withColumn("cell", numbers(np.cumsum(parts) - parts)[F.col("list")] + part)
+    blocks = cells.withColumn("block", numbers(block_of)[F.col("cell")]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    queries = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(block_of[-1])))))
     found_schema = "query_id long, vec_id long, score double"
 
     def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -219,16 +214,22 @@ def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", ve
         if left.num_rows and right.num_rows:
             ix = sent.value
             v, x = right.column("vec_id").to_numpy(), _matrix(right.column("vec"))
-            code = np.ascontiguousarray(np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(v), -1).T)
+            code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(v), -1)
+            cell = right.column("cell").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            members = [(at, np.ascontiguousarray(code[at].T)) for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1)]
             ids, q = left.column("query_id").to_numpy(), _matrix(left.column("q"))
             for low in range(0, len(ids), 64):
                 table = ix.tables(q[low : low + 64])
                 for i, t in enumerate(table, low):
-                    # the centre's product is the same for the whole list, so it does not matter within a block
-                    s = t[0][code[0]]
-                    for j in range(1, len(code)):
-                        s += t[j][code[j]]
-                    near = np.flatnonzero(s >= np.partition(s, len(s) - RERANK)[len(s) - RERANK]) if len(s) > RERANK else np.arange(len(s))
+                    picked = []
+                    for at, c in members:
+                        # the centre's product is the same for the whole list, so it does not matter within a cell
+                        s = t[0][c[0]]
+                        for j in range(1, len(c)):
+                            s += t[j][c[j]]
+                        picked.append(at[s >= np.partition(s, len(s) - RERANK)[len(s) - RERANK]] if len(s) > RERANK else at)
+                    near = np.concatenate(picked)
                     near = near[v[near] != ids[i]]
                     exact = (x[near] * q[i]).sum(1)
                     best = np.lexsort((v[near], -exact))[: 2 * k]
@@ -236,7 +237,7 @@ def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", ve
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.Table.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    keys = ["list", "part", "turn"]
+    keys = ["block", "turn"]
     found = queries.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(rank, found_schema).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

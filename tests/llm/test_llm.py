@@ -261,6 +261,21 @@ def test_nearest(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 150)
+    x = np.random.default_rng(12).normal(size=(6000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.pmod("vec_id", F.lit(100)) == 0, 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 100):
+        s = x.astype(float) @ x[q].astype(float)
+        hits += len(got[q] & {i for i in np.lexsort((np.arange(6000), -s))[:11].tolist() if i != q})
+    assert hits >= 0.97 * 60 * 10
+
+
 def test_parallel_error_always_weighs_more():
     assert abs(ann.parallel_weight(16, 0.0)) < 1e-6
     assert all(ann.parallel_weight(d) > 0 for d in (2, 3, 16, 64, 1024))
