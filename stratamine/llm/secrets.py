@@ -61,6 +61,16 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return cost * 8 / (len(candidate) * log2(alphabet))
 
 
+def free(a: int, b: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of a candidate where no other span lies."""
+    out = []
+    for x, y in sorted(s for s in covered if a < s[1] and s[0] < b):
+        if a < x:
+            out.append((a, x))
+        a = max(a, y)
+    return [*out, (a, b)] if a < b else out
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and kind."""
     found = []
@@ -75,22 +85,22 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     for word in SENSITIVE.finditer(text):
         if word.end() <= last:  # its reach has been searched
             continue
-        for m in STRING.finditer(text, word.end(), min(len(text), word.end() + REACH + 256)):
-            a, b = m.span()
-            if a - word.end() > REACH:
-                break
-            s = m[0]
+        for m in STRING.finditer(text, word.end(), word.end() + REACH + 16):  # bounds where one may start
+            a, b = m.start(), STRING.match(text, m.start()).end()
+            s = text[a:b]
             if a == word.end():  # the rest of an identifier, unless something is assigned in it
                 cut = s.find("=") + 1
                 a, s = a + cut, s[cut:]
                 if not cut or len(s) < 16:
                     continue
-            if any(a < y and x < b for x, y in covered) or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
-                continue
-            if novelty(s, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
-                found.append(("novel", a, b))
-                covered.append((a, b))
-                last = b
+            for a, b in free(a, b, covered):
+                s = text[a:b]
+                if len(s) < 16 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
+                    continue
+                if novelty(s, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
+                    found.append(("novel", a, b))
+                    covered.append((a, b))
+                    last = b
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

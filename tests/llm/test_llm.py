@@ -429,6 +429,16 @@ def test_secrets(spark, odd, empty):
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).where("text is null").count() == 2
 
 
+def test_long_secrets_are_found_to_their_end(spark):
+    rng = random.Random(17)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(500))
+    assert secrets.scan(f"credential: {key} end") == [("novel", 12, 512)]
+    df = spark.createDataFrame([(1, f"credential: {key} end")], "doc_id long, text string")
+    assert secrets.redact(df).first()["text"] == "credential: [secret] end"
+    mixed = f"credential: {key}-{'deadbeef' * 4}-{key[::-1]} end"  # the pattern's span is left out, not the rest
+    assert secrets.scan(mixed) == [("novel", 12, 513), ("hex", 513, 545), ("novel", 545, 1046)]
+
+
 def test_empty_tables(empty):
     assert tokens.encode(empty, RANKS).count() == tokens.count_tokens(empty, JSON).count() == 0
     assert packing.pack(empty, JSON).count() == 0
