@@ -27,6 +27,9 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|licen[cs]e.?key", re.I | re.ASCII)
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = re.compile(r"[A-Za-z0-9+/_=-]{16}")
+START = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16}")
+REST = re.compile(r"[A-Za-z0-9+/_-]*")  # of an identifier, up to an assignment
 REACH = 48  # characters before a candidate in which a sensitive word must lie
 AROUND = 256  # characters on either side that prime the compressor
 #: The least share of what the alphabet carries that a candidate must cost.
@@ -81,26 +84,28 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     covered = [(a, b) for _, a, b in found]
-    last = -REACH
+    searched, edge, begin, end, judged = 0, 0, 0, 0, set()  # starts before searched have been seen
     for word in SENSITIVE.finditer(text):
-        if word.end() <= last:  # its reach has been searched
-            continue
-        for m in STRING.finditer(text, word.end(), word.end() + REACH + 16):  # bounds where one may start
-            a, b = m.start(), STRING.match(text, m.start()).end()
-            s = text[a:b]
-            if a == word.end():  # the rest of an identifier, unless something is assigned in it
-                cut = s.find("=") + 1
-                a, s = a + cut, s[cut:]
-                if not cut or len(s) < 16:
-                    continue
-            for a, b in free(a, b, covered):
+        low = word.end()
+        if low >= edge:
+            edge = REST.match(text, low).end()
+        # the rest of an identifier is none, unless something is assigned in it
+        starts = [edge + 1] if text[edge : edge + 1] == "=" else []
+        starts += [m.start() for m in START.finditer(text, max(low, searched), low + REACH + 16)]
+        searched = max(searched, low + REACH + 1)
+        for a in starts:
+            if a in judged or not LEAST.match(text, a):
+                continue
+            judged.add(a)
+            if not begin <= a < end:
+                begin, end = STRING.match(text, a).span()
+            for a, b in free(a, end, covered):
                 s = text[a:b]
                 if len(s) < 16 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
                     continue
                 if novelty(s, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
                     found.append(("novel", a, b))
                     covered.append((a, b))
-                    last = b
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -439,6 +439,17 @@ def test_long_secrets_are_found_to_their_end(spark):
     assert secrets.scan(mixed) == [("novel", 12, 513), ("hex", 513, 545), ("novel", 545, 1046)]
 
 
+def test_every_sensitive_word_has_its_reach():
+    rng = random.Random(19)
+    one, two, three = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20)) for _ in range(3))
+    text = f"secret stuff for the staging auth area: {one} {two} and far beyond what any of these words can reach {three}"
+    assert secrets.scan(text) == [("novel", 40, 60), ("novel", 61, 81)]
+    text = f"the auth_name={one} in use; the token has {two}"
+    assert secrets.scan(text) == [("novel", 14, 34), ("novel", 57, 77)]
+    words = f"secret x auth=abcdefghabcdefghabcdefgh {one}"  # a start in an earlier string than the last one seen
+    assert secrets.scan(words) == [("novel", 39, 59)]
+
+
 def test_empty_tables(empty):
     assert tokens.encode(empty, RANKS).count() == tokens.count_tokens(empty, JSON).count() == 0
     assert packing.pack(empty, JSON).count() == 0
