@@ -150,6 +150,15 @@ def train(x: np.ndarray, lists: int) -> Index:
     return index
 
 
+def leading(score: np.ndarray, owner: np.ndarray | None, n: int) -> np.ndarray:
+    """Where scores are at least the n-th largest; with owners (0, 1, ...), the n-th largest of the owners' best."""
+    best = score
+    if owner is not None:
+        best = np.full(owner.max() + 1, -np.inf, score.dtype)
+        np.maximum.at(best, owner, score)
+    return np.flatnonzero(score >= np.partition(best, len(best) - n)[len(best) - n]) if len(best) > n else np.arange(len(score))
+
+
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -169,8 +178,8 @@ def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", ve
 
     Vectors that are null, all zero, or hold a null or non-finite component take no part, nor do rows without an
     id, nor vectors of another length than most have. Ties go to smaller ids. Of equal vectors only the k + 1 with
-    the smallest ids can be among the nearest, so only they are indexed. Repeated rows count once. Without vectors there
-    are no rows.
+    the smallest ids can be among the nearest, so only they are indexed. Repeated rows count once, and so does an id
+    with several vectors, by its best score. Without vectors there are no rows.
     """
     spark = df.sparkSession
     ship(spark)
@@ -181,7 +190,7 @@ def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", ve
         return spark.createDataFrame([], names)
     rows = rows.where(F.size("vec") == lengths["d"])
     same = Window.partitionBy("vec").orderBy("vec_id")
-    kept = rows.withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= k + 1).drop("n")
+    kept = rows.withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= k + 1).drop("n").dropDuplicates(["vec_id", "vec"])
     fitted = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").collect()  # the bounded sample
     lists = int(min(MOST_LISTS, max(1, lengths["n"] // LIST)))
     index = train(np.array([r["vec"] for r in fitted]), lists)
@@ -217,27 +226,31 @@ def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", ve
             code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(v), -1)
             cell = right.column("cell").to_numpy()
             order = np.argsort(cell, kind="stable")
-            members = [(at, np.ascontiguousarray(code[at].T)) for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1)]
+            members = []
+            for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                some, owner = np.unique(v[at], return_inverse=True)
+                members.append((at, np.ascontiguousarray(code[at].T), owner if len(some) < len(at) else None))
             ids, q = left.column("query_id").to_numpy(), _matrix(left.column("q"))
             for low in range(0, len(ids), 64):
                 table = ix.tables(q[low : low + 64])
                 for i, t in enumerate(table, low):
                     picked = []
-                    for at, c in members:
+                    for at, c, owner in members:
                         # the centre's product is the same for the whole list, so it does not matter within a cell
                         s = t[0][c[0]]
                         for j in range(1, len(c)):
                             s += t[j][c[j]]
-                        picked.append(at[s >= np.partition(s, len(s) - RERANK)[len(s) - RERANK]] if len(s) > RERANK else at)
+                        picked.append(at[leading(s, owner, RERANK)])
                     near = np.concatenate(picked)
                     near = near[v[near] != ids[i]]
                     exact = (x[near] * q[i]).sum(1)
-                    best = np.lexsort((v[near], -exact))[: 2 * k]
+                    best = np.lexsort((v[near], -exact))
+                    best = best[np.sort(np.unique(v[near][best], return_index=True)[1])[:k]]  # of each id the best
                     out.append((np.full(len(best), ids[i]), v[near][best], exact[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.Table.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
     keys = ["block", "turn"]
-    found = queries.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(rank, found_schema).distinct()
+    found = queries.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(rank, found_schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -276,6 +276,19 @@ def test_nearest_with_many_lists(spark, monkeypatch):
     assert hits >= 0.97 * 60 * 10
 
 
+def test_nearest_with_repeated_rows(spark):
+    x = np.random.default_rng(14).normal(size=(300, 8)).astype(np.float32)
+    near = int(np.argsort(-(x.astype(float) @ x[0].astype(float)))[1])
+    copies = [i for i in range(300) for _ in range(250 if i == near else 3)]
+    others = [(7, (x[0] * (1 + j / 1000)).tolist()) for j in range(250)]  # one id with many vectors
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in copies] + others, "vec_id long, embedding array<float>")
+    got = sorted(ann.search(df, F.col("vec_id") == 0, 20).collect(), key=lambda r: r["rank"])
+    s = x.astype(float) @ x[0].astype(float)
+    s[7] = np.array(others[-1][1], np.float32).astype(float) @ x[0].astype(float)
+    want = [i for i in np.lexsort((np.arange(300), -s)).tolist() if i][:20]
+    assert [r["vec_id"] for r in got] == want and [r["rank"] for r in got] == list(range(1, 21))
+
+
 def test_parallel_error_always_weighs_more():
     assert abs(ann.parallel_weight(16, 0.0)) < 1e-6
     assert all(ann.parallel_weight(d) > 0 for d in (2, 3, 16, 64, 1024))
