@@ -164,3 +164,33 @@ def test_files(spark, tmp_path):
     assert lines[0].startswith("Candidates:\n('a'),('c')\n\n('a', 'c')\n\nFrequent Itemsets:\n")
     writers.community_lines(spark.createDataFrame([(["b", "c"],), (["a"],)], "members array<string>"), str(tmp_path / "groups"))
     assert spark.read.text(str(tmp_path / "groups"), wholetext=True).first()[0] == "'a'\n'b', 'c'\n"
+
+
+def test_paths_from_every_vertex_without_a_depth(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stratamine.operators import graph
+
+    rng = random.Random(6)
+    pairs = {(i, i + 1) for i in range(7)} | {tuple(sorted(rng.sample(range(8, 20), 2))) for _ in range(20)}
+    edges = spark.createDataFrame(sorted(pairs | {(b, a) for a, b in pairs}), "src long, dst long")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for root in near:
+        level, seen, d = {root: 1}, {root}, 0
+        while level:
+            want |= {(root, v, d, n) for v, n in level.items()}
+            after = {}
+            for v, n in level.items():
+                for w in near[v] - seen:
+                    after[w] = after.get(w, 0) + n
+            level, d = after, d + 1
+            seen |= set(level)
+    got = graph.shortest_paths(edges, edges.select(F.col("src").alias("id")).distinct()).collect()
+    assert {(r["root"], r["node"], r["dist"], r["sigma"]) for r in got} == want and len(got) == len(want)
+    assert max(d for _, _, d, _ in want) > 4 and max(n for *_, n in want) > 1
