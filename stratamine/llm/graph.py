@@ -5,32 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamine.llm.ship import settled
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: A key with more rows than this, and than a share of one in SHARES of all, is a hub.
+HUB, SHARES = 10_000, 1000
+
+
+def hub_join(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with facts on ``key``. facts has one row a key and says in ``count`` how many of the ``total`` rows
+    hold it. Hubs are fewer than SHARES, so their facts are broadcast and their rows stay where they are."""
+    most = max(HUB, total // SHARES)
+    if total <= most:
+        return rows.join(facts, key, how)
+    hubs = F.broadcast(facts.where(F.col(count) > most))
+    others = rows.join(F.broadcast(facts.where(F.col(count) > most).select(key)), key, "left_anti")
+    return rows.join(hubs, key).unionByName(others.join(facts.where(F.col(count) <= most), key, how))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b); component: the smallest id that can be reached.
 
     Alternates large stars (every neighbour that is larger is tied to the smallest neighbour) and small stars (every
     smaller neighbour is), which takes a number of rounds that grows with the logarithm of the ids. A star's centre
-    is found by a grouped minimum, combined before the shuffle, so a hub costs no task more than its share. Each round's edges,
-    two longs each, are written to the checkpoint folder; the rounds end when a round changes nothing. Loops and
-    repeated edges do no harm; edges with a null end are left out; no edges give no rows.
+    is found by a grouped minimum, combined before the shuffle, and handed to a hub's edges by broadcast, so a hub
+    costs no task more than its share. Each round's edges, two longs each, are written to the checkpoint folder; the
+    rounds end when a round changes nothing. Loops and repeated edges do no harm; edges with a null end are left out;
+    no edges give no rows.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
-    mark = _mark(now)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    now = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    mark, before = _mark(now), None
+    while mark[0] and mark != before:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
-        now = small.distinct().checkpoint()
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        larger = hub_join(both, least, "a", 2 * mark[0]).where("b > a")
+        large = settled(larger.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = hub_join(large, least, "a", 2 * mark[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        now = settled(small.select("e.*").where("a <> b").distinct())
         before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 

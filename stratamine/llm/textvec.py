@@ -133,3 +133,14 @@ def concat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def low_bytes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of sorted whole numbers, all lowest bytes first and so on: the high ones compress."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def keys_of(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
