@@ -5,16 +5,18 @@ uniform one. The weights depend on how often the longest context was seen, by po
 expectation-maximisation: a part of the training documents is deleted from the counts, and the weights are those
 that make it likeliest under the counts of the rest. Scores use the counts of all training documents.
 
-Documents are dealt into blocks of bounded size by a hash. A block sends its distinct n-grams, packed by the range
-of their hashes, with their counts in its training documents; for each range they are merged; and each block gets
-the corpus counts of its own n-grams back, in its own order, so answers hold no keys. One n-gram is thus one entry
-for each block that holds it, however often it occurs, and no row of any table stands for an n-gram alone. Blocks and
-ranges grow in number with the input, not in size. For the weights the deleted blocks' tokens are summed up by their
-context's bucket and their estimates on a logarithmic grid, a table of bounded size; the driver sees only that.
+Documents are dealt into blocks of bounded size by a hash; their texts travel compressed, and rows that repeat an id
+and a text travel from a batch once, with their number. A block sends its distinct n-grams, packed by the range of
+their hashes, with their counts in its training documents; for each range they are merged; and each block gets the
+corpus counts of its own n-grams back, in its own order, so answers hold no keys. One n-gram is thus one entry for each
+block that holds it, however often it occurs. Blocks and ranges grow in number with the input, not in size; a row holds
+an n-gram at least, so there are never more rows than entries. For the weights the deleted blocks' tokens are summed up
+by their context's bucket and their estimates on a logarithmic grid, a table of bounded size; the driver sees only that.
 """
 
 from __future__ import annotations
 
+import zlib
 from math import ceil
 
 import numpy as np
@@ -23,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamine.llm.ship import settled
-from stratamine.llm.textvec import U64, combine, pieces, words
+from stratamine.llm.textvec import U64, buffers, combine, keys_of, low_bytes, pieces, words
 from stratamine.llm.tokens import two
 
 END = U64(0x5851F42D4C957F2D)
 START = U64(0x14057B7EF767814F)
-KEY_BYTES = 6  # of a key within its range
+#: Bytes of a key within its range. Tokens are counted exactly; of a range's million longer n-grams one may be taken
+#: for another, which its estimate can bear.
+KEY_BYTES = {1: 7, 2: 5, 3: 5}
 BUCKETS = 24
 GRID = 4  # steps of the logarithmic grid in a factor of two
 NEVER = -(2**15)
@@ -67,18 +71,53 @@ def pack(x: np.ndarray) -> bytes:
     return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
 
+def pack_small(x: np.ndarray) -> bytes:
+    """As ``pack``, compressed: counts of one corpus are mostly ones."""
+    return zlib.compress(pack(x), 1)
+
+
 def unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def keys_of(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
-    return out.view("<u8").ravel()
+DEALT = "block int, ids binary, held binary, times binary, sizes binary, texts binary"
+ASK = "kind int, part int, block int, keys binary, counts binary"
+TELL = "kind int, part int, block int, main binary, deleted binary, main_tokens long, main_types long, all_tokens long, all_types long"
 
 
-ASK = "kind int, part int, block int, keys binary, counts binary"
-TELL = "kind int, part int, block int, main binary, deleted binary"
+def _key_bytes(kind: int) -> int:
+    return KEY_BYTES.get(kind, 5)
+
+
+def _deal(batches):
+    """Rows (block, doc_id, held_out, text), one for each block and batch, with texts compressed and equal rows as one."""
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        t = pa.Table.from_batches([batch]).group_by(["block", "doc_id", "held_out", "text"]).aggregate([([], "count_all")]).sort_by("block")
+        block = t.column("block").to_numpy()
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, np.int64)
+        id_col, rows = t.column("doc_id"), []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = t.slice(a, b - a)
+            data, offsets = buffers(own.column("text"))
+            ids = id_col.slice(a, b - a)
+            known = ids.is_valid().to_numpy()
+            held = own.column("held_out").to_numpy().astype(np.uint8) | (known.astype(np.uint8) << 1)
+            raw = data[offsets[0] : offsets[-1]].tobytes()
+            rows.append((int(block[a]), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), held.tobytes(), own.column("count_all").to_numpy().astype("<i8").tobytes(), np.diff(offsets).astype("<i8").tobytes(), codec.compress(raw, asbytes=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.binary() if i else pa.int32()) for i in range(6)], names=[x.split()[0] for x in DEALT.split(", ")])
+
+
+def _documents(t: pa.Table) -> pa.Table:
+    """doc_id, held_out, times and text of a block as it was dealt, equal rows as one, in an order of their own."""
+    codec, parts = pa.Codec("zstd"), []
+    for ids, held, times, sizes, texts in zip(*(t.column(c).to_pylist() for c in ("ids", "held", "times", "sizes", "texts")), strict=True):
+        size, flag = np.frombuffer(sizes, "<i8"), np.frombuffer(held, np.uint8)
+        raw = codec.decompress(texts, int(size.sum())) if len(size) and size.sum() else pa.py_buffer(b"")
+        offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+        text = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), raw)
+        parts.append(pa.table({"doc_id": pa.array(np.frombuffer(ids, "<i8"), mask=flag < 2), "held_out": flag % 2 == 1, "times": np.frombuffer(times, "<i8"), "text": text}))
+    return pa.concat_tables(parts).group_by(["doc_id", "held_out", "text"]).aggregate([("times", "sum")]).rename_columns(["doc_id", "held_out", "text", "times"])
 
 
 def learn(spread: dict[int, tuple[np.ndarray, np.ndarray]], order: int, uniform: float, rounds: int = 60) -> np.ndarray:
@@ -102,7 +141,7 @@ def learn(spread: dict[int, tuple[np.ndarray, np.ndarray]], order: int, uniform:
     return out
 
 
-def score(df: DataFrame, held_out: Column, order: int = 2, deleted_share: int = 8, block_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, held_out: Column, order: int = 3, deleted_share: int = 8, block_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every text with a model of those for which ``held_out`` (of the column doc_id) isn't true.
 
     Returns doc_id, held_out, n_tokens (words and the end), n_known (of them known to the training documents),
@@ -115,50 +154,48 @@ def score(df: DataFrame, held_out: Column, order: int = 2, deleted_share: int =
     size = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count("*")).first()
     blocks = max(deleted_share, ceil((size[0] or 0) / block_bytes))
     parts = blocks
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "held_out", "text")
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "held_out", "text")
+    dealt = rows.mapInArrow(_deal, DEALT)
 
     def ask(t: pa.Table) -> pa.Table:
-        token, begins, size = tokens(t.column("text"))
-        block = t.column("block")[0].as_py()
-        counted = np.repeat(~t.column("held_out").to_numpy().astype(bool), size)
+        block, docs = t.column("block")[0].as_py(), _documents(t)
+        token, begins, size = tokens(docs.column("text"))
+        counted = np.repeat(np.where(docs.column("held_out").to_numpy(), 0, docs.column("times").to_numpy()), size)
         rows = []
         for kind, g in enumerate(grams(token, begins, order), 1):
             keys, where = np.unique(g, return_inverse=True)
-            counts = np.bincount(where[counted], minlength=len(keys))
+            counts = np.bincount(where, counted, len(keys)).astype(np.int64)
             part = ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-            low = keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-            rows += [(kind, int(part[a]), block, low[a:b].tobytes(), pack(counts[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            rows += [(kind, int(part[a]), block, low_bytes(keys[a:b], _key_bytes(kind)), pack_small(counts[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(),) * 3 + (pa.binary(),) * 2, strict=True)], names=["kind", "part", "block", "keys", "counts"])
 
     def tell(t: pa.Table) -> pa.Table:
-        raw = t.column("keys").to_pylist()
+        kind = t.column("kind").to_pylist()
+        raw = [keys_of(x, _key_bytes(kind[0])) for x in t.column("keys").to_pylist()]
         block = t.column("block").to_numpy()
-        edges = np.cumsum([0, *(len(x) // KEY_BYTES for x in raw)])
-        counts = np.concatenate([unpack(x) for x in t.column("counts").to_pylist()])
-        keys, where = np.unique(np.concatenate([keys_of(x) for x in raw]), return_inverse=True)
+        edges = np.cumsum([0, *map(len, raw)])
+        counts = np.concatenate([unpack(zlib.decompress(x)) for x in t.column("counts").to_pylist()])
+        keys, where = np.unique(np.concatenate(raw), return_inverse=True)
         gone = np.repeat(block % deleted_share == 0, np.diff(edges))
         total = [np.bincount(where, counts * part, len(keys)).astype(np.int64) for part in (~gone, gone)]
-        made = [[pack(x[where[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in total]
-        kind, part = t.column("kind").to_pylist(), t.column("part").to_pylist()
-        # block -1: the tokens and the distinct tokens, all and those that aren't deleted
+        made = [[pack_small(x[where[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in total]
         every = total[0] + total[1]
-        tally = [pack(np.array(x)) for x in ([total[0].sum(), np.count_nonzero(total[0])], [every.sum(), np.count_nonzero(every)])]
-        columns = ([*kind, kind[0]], [*part, part[0]], [*block.tolist(), -1], [*made[0], tally[0]], [*made[1], tally[1]])
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(),) * 3 + (pa.binary(),) * 2, strict=True)], names=["kind", "part", "block", "main", "deleted"])
+        tally = [int(x) for x in (total[0].sum(), np.count_nonzero(total[0]), every.sum(), np.count_nonzero(every))]
+        once = [pa.array([x if kind[0] == 1 else 0, *[0] * (len(raw) - 1)], pa.int64()) for x in tally]  # in one row of a range
+        columns = [t.column("kind"), t.column("part"), t.column("block"), *(pa.array(x, pa.binary()) for x in made), *once]
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in TELL.split(", ")])
 
     told = settled(dealt.groupBy("block").applyInArrow(ask, ASK).groupBy("kind", "part").applyInArrow(tell, TELL))
-    tally = told.where("block = -1 and kind = 1").select("main", "deleted")
-    main_tokens = main_types = all_tokens = all_types = 0
-    for a, b in tally.toLocalIterator():  # two pairs of numbers for each range
-        (x, y), (z, w) = unpack(bytes(a)), unpack(bytes(b))
-        main_tokens, main_types, all_tokens, all_types = main_tokens + int(x), main_types + int(y), all_tokens + int(z), all_types + int(w)
-    trained = dealt.where("not held_out")
+    # the tokens and the distinct tokens, of the documents that aren't deleted and of all
+    main_tokens, main_types, all_tokens, all_types = (x or 0 for x in told.agg(*(F.sum(c) for c in ("main_tokens", "main_types", "all_tokens", "all_types"))).first())
+    trained = rows.where("not held_out")
     starts = trained.agg(F.count("*"), F.count_if(F.pmod("block", F.lit(deleted_share)) != 0)).first()
 
     def estimates(docs: pa.Table, answers: pa.Table, whole: bool):
         """Sizes of the texts, token counts, context buckets and estimates [token, order] from the answers."""
         token, begins, size = tokens(docs.column("text"))
+        read = lambda x: unpack(zlib.decompress(x))
         order_of = np.lexsort((answers.column("part").to_numpy(), answers.column("kind").to_numpy()))
         kind = answers.column("kind").to_numpy()[order_of]
         main, gone = (answers.column(c).to_pylist() for c in ("main", "deleted"))
@@ -167,7 +204,7 @@ def score(df: DataFrame, held_out: Column, order: int = 2, deleted_share: int =
         for k, g in enumerate(grams(token, begins, order), 1):
             _, where = np.unique(g, return_inverse=True)
             mine = order_of[kind == k]
-            total = np.concatenate([unpack(main[i]) + unpack(gone[i]) if whole else unpack(main[i]) for i in mine])
+            total = np.concatenate([read(main[i]) + read(gone[i]) if whole else read(main[i]) for i in mine])
             count = total[where]
             if k == 1:
                 first, below = count, np.full(len(token), n)
@@ -183,23 +220,24 @@ def score(df: DataFrame, held_out: Column, order: int = 2, deleted_share: int =
     cell_schema = "bucket int, " + "".join(f"q{k} int, " for k in range(1, order + 1)) + "n long, " + ", ".join(f"s{k} double" for k in range(1, order + 1))
     names = [x.split()[0] for x in cell_schema.split(", ")]
 
-    answers = told.where("block >= 0")
+    answers = told.select("kind", "part", "block", "main", "deleted")
     gone = F.pmod("block", F.lit(deleted_share)) == 0
     # a block's answers are for all its documents, so its held-out ones are needed too, to put n-grams in order
     found = dealt.where(gone).groupBy("block").cogroup(answers.where(gone).groupBy("block"))
 
     def cells(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _documents(docs)
         size, _, bucket, p = estimates(docs, answers, False)
-        counted = np.repeat(~docs.column("held_out").to_numpy().astype(bool), size)
-        bucket, p = bucket[counted], p[counted]
+        times = np.repeat(np.where(docs.column("held_out").to_numpy(), 0, docs.column("times").to_numpy()), size)
+        bucket, p, times = bucket[times > 0], p[times > 0], times[times > 0]
         with np.errstate(divide="ignore"):
             q = np.where(p > 0, np.floor(GRID * np.log2(np.maximum(p, 1e-300))), NEVER).astype(np.int64)
         code, span = bucket, 1 << 16
         for k in range(order):
             code = code * span + (q[:, k] - NEVER)
         key, at, where = np.unique(code, return_index=True, return_inverse=True)
-        sums = [np.bincount(where, p[:, k], len(key)) for k in range(order)]
-        columns = [pa.array(bucket[at], pa.int32()), *(pa.array(q[at, k], pa.int32()) for k in range(order)), pa.array(np.bincount(where, minlength=len(key))), *map(pa.array, sums)]
+        sums = [np.bincount(where, p[:, k] * times, len(key)) for k in range(order)]
+        columns = [pa.array(bucket[at], pa.int32()), *(pa.array(q[at, k], pa.int32()) for k in range(order)), pa.array(np.bincount(where, times, len(key)).astype(np.int64)), *map(pa.array, sums)]
         return pa.Table.from_arrays(columns, names=names)
 
     by_cell = found.applyInArrow(cells, cell_schema).groupBy(*names[: order + 1]).agg(*(F.sum(c).alias(c) for c in names[order + 1 :])).collect()  # a grid
@@ -213,6 +251,7 @@ def score(df: DataFrame, held_out: Column, order: int = 2, deleted_share: int =
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _documents(docs)
         size, count, bucket, p = estimates(docs, answers, True)
         w = weights[bucket]
         mixed = w[:, 0] / (all_types + 1) + (w[:, 1:] * p).sum(1)
@@ -221,6 +260,8 @@ def score(df: DataFrame, held_out: Column, order: int = 2, deleted_share: int =
         n = len(size)
         base = add(np.log10((count + 1) / (all_tokens + all_types + 1)))
         columns = [docs.column("doc_id"), docs.column("held_out"), pa.array(size), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(n, all_tokens)), pa.array(base), pa.array(add(np.log10(mixed)))]
-        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in out_schema.split(", ")])
+        out = pa.Table.from_arrays(columns, names=[x.split()[0] for x in out_schema.split(", ")])
+        times = docs.column("times").to_numpy()
+        return out if (times == 1).all() else out.take(np.repeat(np.arange(n), times))
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scores, out_schema)
