@@ -141,11 +141,17 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120)
 
 def fit(df: DataFrame, learn: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on at most ``sample`` texts of each language among rows where ``learn`` (of the column doc_id) is true and
-    the language isn't null. Texts are read whole; the driver gets their n-gram counts."""
+    the language isn't null. Texts are read whole; the driver gets their n-gram counts. An id counts once for each of its
+    languages, by its least text, and rows without an id as one; so repeated rows don't enlarge the sample. Only some twice
+    as many ids as the sample are put in order."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(learn, F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang"))
-    some = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("lang") == F.col("c_lang")), "left_semi").select("doc_id", "text", "lang")
+    ids, drawn = docs.select("doc_id", "lang").distinct(), F.xxhash64("doc_id", "lang")
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    few = ids.join(F.broadcast(counts), "lang").where(F.pmod(drawn, F.lit(1 << 31)) * F.col("n") < 2.0 * sample * (1 << 31))
+    order = Window.partitionBy("lang").orderBy(drawn, "doc_id")
+    chosen = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang"))
+    some = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("lang") == F.col("c_lang")), "left_semi")
+    some = some.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
     two(df, id_col, text_col)
 
     def run(batches):
