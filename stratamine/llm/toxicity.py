@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratamine.llm.ship import ship
+from stratamine.llm.ship import settled, ship
 from stratamine.llm.textvec import LOWER, pieces, span_hashes, word_spans
 from stratamine.llm.tokens import two
 
@@ -234,11 +234,14 @@ def _weights(rows: list, toxic: int, other: int) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(df: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on at most ``sample`` labelled rows where ``learn`` (of the column doc_id) is true. Without rows of both
-    labels the score is the share of toxic ones (0 without any)."""
+    """Fits on at most ``sample`` labelled ids where ``learn`` (of the column doc_id) is true. An id counts once: with
+    its largest label and its least text. Without rows of both labels the score is the share of toxic ones (0 without
+    any)."""
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & learn)
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    docs = two(df, id_col, text_col).join(F.broadcast(marks.toDF("l_id", "y")), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "y", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    marks = marks.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    docs = two(df, id_col, text_col).join(F.broadcast(marks.toDF("l_id", "y")), F.col("doc_id") == F.col("l_id"))
+    docs = docs.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    docs = settled(docs)  # the bounded sample
 
     def count(batches):
         for batch in batches:
