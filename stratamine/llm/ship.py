@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def ship(spark: SparkSession) -> None:
     """Once per Spark context: a zip of the modules, served to executors by the driver, new ones included.
 
-    Checkpoints go to the folder in spark.checkpoint.dir; only where none is set, as in tests, to one of our own.
+    Checkpoints go to the folder in spark.checkpoint.dir. Where none is set, a single machine gets one of our own; on a
+    cluster executors could not share that, so it is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
     if getattr(sc, "_stratamine_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
@@ -30,11 +34,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The checkpoint of df. What was shuffled for it leaves the executors' disks at once, for nothing reads it again."""
+    """The checkpoint of df. What was shuffled for it leaves the executors' disks at once, for nothing reads it again.
+
+    A frame takes the setting over when it is made; one that another thread makes meanwhile loses its own shuffles once
+    it has run, and computes them anew if it runs again.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(name)
     conf.set(name, "true")
     try:
-        return df.select("*").checkpoint()  # a frame takes the setting over when it is made
+        return df.select("*").checkpoint()
     finally:
         conf.set(name, before)
