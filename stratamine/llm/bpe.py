@@ -386,6 +386,36 @@ class Cache:
         return entries
 
 
+class Lengths:
+    """A compact table from the hashes of pre-tokens to their lengths in tokens: open addressing, half full at most."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.sizes = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint16)
+        left, slot, mask = np.arange(len(keys)), self._slot(keys), (1 << self.bits) - 1
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[left[free]]
+            won = self.keys[slot] == keys[left]
+            self.sizes[slot[won]] = sizes[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The lengths, 0 for what isn't there."""
+        out = np.zeros(len(keys), np.int64)
+        left, slot, mask = np.arange(len(keys)), self._slot(keys), (1 << self.bits) - 1
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.sizes[slot[hit]]
+            go = ~hit & (there != 0)
+            left, slot = left[go], (slot[go] + 1) & mask
+        return out
+
+
 class Encoder:
     """Encodes many texts at once. ``specials``: whether the strings of special tokens in a text are those tokens.
     ``heap``: whether every miss goes through the heap; else the short ones go through rounds of merges together."""
@@ -394,8 +424,9 @@ class Encoder:
         self.v, self.cache, self.heap = vocabulary, Cache(bits), heap
         self.specials = vocabulary.special if specials else {}
 
-    def pretokens(self, data: np.ndarray, offsets: np.ndarray):
-        """Sizes of the pre-tokens in tokens, the place of their ids in self.flat, and their byte starts."""
+    def pretokens(self, data: np.ndarray, offsets: np.ndarray, frequent: Lengths | None = None):
+        """Sizes of the pre-tokens in tokens, the place of their ids in self.flat (none for those in ``frequent``), and
+        their byte starts."""
         special, whole = [], data.tobytes() if self.specials else b""
         for name, i in self.specials.items():
             at = -1
@@ -406,7 +437,12 @@ class Encoder:
         breaks = offsets if not special else np.unique(np.concatenate([offsets, [x for s in special for x in s[:2]]]))
         starts, ends = pretoken_spans(data, breaks)
         keys, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        sizes, places = self._resolve(data, starts[first], ends[first], keys)
+        if frequent:
+            sizes, places = frequent.find(keys), np.zeros(len(keys), np.int64)
+            miss = np.flatnonzero(sizes == 0)
+            sizes[miss], places[miss] = self._resolve(data, starts[first[miss]], ends[first[miss]], keys[miss])
+        else:
+            sizes, places = self._resolve(data, starts[first], ends[first], keys)
         sizes, places = sizes[inverse], places[inverse]
         for low, high, i in special:
             k = np.searchsorted(starts, [low, high])
@@ -439,9 +475,15 @@ class Encoder:
         places[miss] = self.cache.starts[entry]
         return sizes, places
 
-    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each text."""
-        sizes, _, starts = self.pretokens(data, offsets)
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct pre-tokens, how often each occurs and its tokens; special tokens are not looked for."""
+        starts, ends = pretoken_spans(data, offsets)
+        keys, first, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
+        return keys, n, self._resolve(data, starts[first], ends[first], keys)[0]
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray, frequent: Lengths | None = None) -> np.ndarray:
+        """Tokens of each text; those of pre-tokens in ``frequent`` are looked up there."""
+        sizes, _, starts = self.pretokens(data, offsets, frequent)
         total = np.concatenate([[0], np.cumsum(sizes)])
         return np.diff(total[np.searchsorted(starts, offsets)])
 

@@ -70,14 +70,34 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, decoded binary")
 
 
+#: The table of frequent pre-tokens has at most so many, counted over some so many rows.
+TABLE, SAMPLE = 65_536, 4_000
+
+
+def _frequent(docs: DataFrame, vocabulary) -> bpe.Lengths:
+    """The lengths of the pre-tokens that occur most often in a sample of the texts and more than once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = bpe.worker_encoder(vocabulary, True, False)
+        for batch in batches:
+            for _, _, data, offsets in pieces(batch.column(1)):
+                keys, n, size = e.spans(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), size, n)], names=["key", "size", "n"])
+
+    share = min(1.0, SAMPLE / max(1, docs.select("doc_id").count()))
+    counted = docs.sample(share, 1).mapInArrow(count, "key long, size long, n long").groupBy("key", "size").agg(F.sum("n").alias("n"))
+    rows = counted.where("n > 1 and size < 65536").orderBy(F.desc("n"), "key").limit(TABLE).collect()  # a bounded table
+    return bpe.Lengths(np.array([r["key"] for r in rows], np.int64).view(np.uint64), np.array([r["size"] for r in rows], np.int64))
+
+
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of every text: doc_id, n_bytes, n_tokens (long).
 
     For a byte-level JSON file the count is map-side and in two tiers. The driver broadcasts a compact hash table of
-    the pre-tokens that the tokenizer's own training found frequent enough to be tokens: they count one each, and
-    there are never more than the vocabulary has. Other pre-tokens are encoded once per worker and kept in its
-    bounded cache. Strings of special tokens inside a text count one, as the library's default has it. A ``.model``
-    file, or a JSON file of another kind, goes through its own library, text by text.
+    the lengths of frequent pre-tokens, at most ``TABLE``, counted over some ``SAMPLE`` rows; what isn't there, each worker
+    encodes once and keeps in its bounded cache. The table only saves time: lengths are the same from either tier.
+    Strings of special tokens inside a text count one, as the library's default has it. A ``.model`` file, or a JSON
+    file of another kind, goes through its own library, text by text.
     """
     sc = df.sparkSession.sparkContext
     try:
@@ -87,11 +107,12 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     docs, schema = two(df, id_col, text_col), "doc_id long, n_bytes long, n_tokens long"
     if plain:
         vocabulary = sc.broadcast(plain)
+        lengths = sc.broadcast(_frequent(docs, vocabulary))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e = bpe.worker_encoder(vocabulary, True, False)
             for batch in batches:
-                got = [(np.diff(offsets), e.counts(data, offsets)) for _, _, data, offsets in pieces(batch.column(1))]
+                got = [(np.diff(offsets), e.counts(data, offsets, lengths.value)) for _, _, data, offsets in pieces(batch.column(1))]
                 sizes, counts = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 2
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(counts)], names=["doc_id", "n_bytes", "n_tokens"])
 
