@@ -115,13 +115,17 @@ class Model:
 
 
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120) -> Model:
-    """x: shares of features [text, feature]; y: numbers of languages. Logistic regression for each bit, by Adam."""
+    """x: shares of features [text, feature], which are scaled in place; y: numbers of languages. Logistic regression for
+    each bit, by Adam."""
     code = codewords(len(languages))
     if not len(x):
         return Model(languages, code, np.zeros((DIM, code.shape[1]), np.float32), np.zeros(code.shape[1]), np.ones(code.shape))
     scale = (1 / np.sqrt(x.mean(0) + 1e-5)).astype(np.float32)
-    scale /= np.sqrt(((x * scale) ** 2).sum(1)).mean()
-    z, target = x * scale, code[y].astype(np.float32)
+    x *= scale
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x)).mean()
+    x /= norm
+    scale /= norm
+    z, target = x, code[y].astype(np.float32)
     each = 1 / np.maximum(np.bincount(y, minlength=len(languages)), 1)[y]
     each = (each / each.sum()).astype(np.float32)[:, None]
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
