@@ -34,7 +34,7 @@ START = U64(0x14057B7EF767814F)
 #: for another, which its estimate can bear.
 KEY_BYTES = {1: 7, 2: 5, 3: 5}
 BUCKETS = 24
-GRID = 4  # steps of the logarithmic grid in a factor of two
+GRID = 2  # steps of the logarithmic grid in a factor of two
 NEVER = -(2**15)
 
 
@@ -82,7 +82,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 DEALT = "block int, ids binary, held binary, times binary, sizes binary, texts binary"
 ASK = "kind int, part int, block int, keys binary, counts binary"
-TELL = "kind int, part int, block int, main binary, deleted binary, main_tokens long, main_types long, all_tokens long, all_types long"
+TELL = "kind int, part int, block int, whole binary, main binary, main_tokens long, main_types long, all_tokens long, all_types long"
 
 
 def _key_bytes(kind: int) -> int:
@@ -178,10 +178,10 @@ def score(df: DataFrame, held_out: Column, order: int = 3, deleted_share: int =
         counts = np.concatenate([unpack(zlib.decompress(x)) for x in t.column("counts").to_pylist()])
         keys, where = np.unique(np.concatenate(raw), return_inverse=True)
         gone = np.repeat(block % deleted_share == 0, np.diff(edges))
-        total = [np.bincount(where, counts * part, len(keys)).astype(np.int64) for part in (~gone, gone)]
-        made = [[pack_small(x[where[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in total]
-        every = total[0] + total[1]
-        tally = [int(x) for x in (total[0].sum(), np.count_nonzero(total[0]), every.sum(), np.count_nonzero(every))]
+        main, every = (np.bincount(where, counts * part, len(keys)).astype(np.int64) for part in (~gone, 1))
+        # only deleted blocks need the counts without them
+        made = [[pack_small(x[where[a:b]]) if x is every or n % deleted_share == 0 else b"" for a, b, n in zip(edges[:-1], edges[1:], block, strict=True)] for x in (every, main)]
+        tally = [int(x) for x in (main.sum(), np.count_nonzero(main), every.sum(), np.count_nonzero(every))]
         once = [pa.array([x if kind[0] == 1 else 0, *[0] * (len(raw) - 1)], pa.int64()) for x in tally]  # in one row of a range
         columns = [t.column("kind"), t.column("part"), t.column("block"), *(pa.array(x, pa.binary()) for x in made), *once]
         return pa.Table.from_arrays(columns, names=[x.split()[0] for x in TELL.split(", ")])
@@ -198,14 +198,13 @@ def score(df: DataFrame, held_out: Column, order: int = 3, deleted_share: int =
         read = lambda x: unpack(zlib.decompress(x))
         order_of = np.lexsort((answers.column("part").to_numpy(), answers.column("kind").to_numpy()))
         kind = answers.column("kind").to_numpy()[order_of]
-        main, gone = (answers.column(c).to_pylist() for c in ("main", "deleted"))
+        counts = answers.column("whole" if whole else "main").to_pylist()
         n, documents = (all_tokens, starts[0]) if whole else (main_tokens, starts[1])
         p, context, first = np.zeros((len(token), order)), None, None
         for k, g in enumerate(grams(token, begins, order), 1):
             _, where = np.unique(g, return_inverse=True)
             mine = order_of[kind == k]
-            total = np.concatenate([read(main[i]) + read(gone[i]) if whole else read(main[i]) for i in mine])
-            count = total[where]
+            count = np.concatenate([read(counts[i]) for i in mine])[where]
             if k == 1:
                 first, below = count, np.full(len(token), n)
             else:
@@ -220,7 +219,7 @@ def score(df: DataFrame, held_out: Column, order: int = 3, deleted_share: int =
     cell_schema = "bucket int, " + "".join(f"q{k} int, " for k in range(1, order + 1)) + "n long, " + ", ".join(f"s{k} double" for k in range(1, order + 1))
     names = [x.split()[0] for x in cell_schema.split(", ")]
 
-    answers = told.select("kind", "part", "block", "main", "deleted")
+    answers = told.select("kind", "part", "block", "whole", "main")
     gone = F.pmod("block", F.lit(deleted_share)) == 0
     # a block's answers are for all its documents, so its held-out ones are needed too, to put n-grams in order
     found = dealt.where(gone).groupBy("block").cogroup(answers.where(gone).groupBy("block"))

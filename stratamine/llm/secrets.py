@@ -58,7 +58,6 @@ def novelty(candidate: str, before: str, after: str) -> float:
     """Marginal compressed bytes of a candidate over what its alphabet would carry at random."""
     compress = _compressor().compress
     around = (before + "\n" + after + "\n").encode()
-    # twice: the second time nothing of it may be new, so the difference is its content without fixed costs
     cost = len(compress(around + candidate.encode())) - len(compress(around))
     alphabet = 16 if re.fullmatch("[0-9a-f-]+|[0-9A-F-]+", candidate) else 36 if not re.search("[a-z]", candidate) or not re.search("[A-Z]", candidate) else 64
     return cost * 8 / (len(candidate) * log2(alphabet))
