@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The shared folder in spark.checkpoint.dir. Where none is set, a single machine gets one of our own, as in tests; on
+    a cluster executors could not share that, so it is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
     return sc._jsc.sc().getCheckpointDir().get()
 
 

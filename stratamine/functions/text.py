@@ -17,7 +17,7 @@ will just don should now
 
 # Characters that are taken out of words, and the class that splits reviews.
 PUNCTUATION = "([,.!?:;])"
-SPLITTERS = r"""[\s\n\d$%(\[,.!?:;\])'"~*-]"""
+SPLITTERS = r"""[\s\n\d\$\%\(\[\,\.\!\?\:\;\]\)\'\-\"\~\\\*]"""
 
 
 def plain_words(text: Column) -> Column:

@@ -51,10 +51,17 @@ def farthest_first(points: DataFrame, k: int) -> list[tuple[int, list[float]]]:
     return chosen
 
 
-def kmeans(points: DataFrame, k: int, rounds: int = 30) -> DataFrame:
-    """id, x, cluster (numbered by the order of the starts), by Lloyd's rounds until no point moves. An empty cluster
-    keeps its centre."""
-    centres = [(i, y) for i, (_, y) in enumerate(farthest_first(points, k))]
+def first_by_hash(points: DataFrame, k: int) -> list[tuple[int, list[float]]]:
+    """k starting centres: those points whose ids have the least hashes, which is as good as random and repeats."""
+    rows = points.orderBy(F.xxhash64("id"), "id").limit(k).collect()
+    return [(r["id"], list(r["x"])) for r in rows]
+
+
+def kmeans(points: DataFrame, k: int, rounds: int = 30, start: str = "farthest") -> DataFrame:
+    """id, x, cluster (numbered by the order of the starts), by Lloyd's rounds until no point moves. ``start``: "farthest"
+    or "random". An empty cluster keeps its centre."""
+    starts = {"farthest": farthest_first, "random": first_by_hash}[start]
+    centres = [(i, y) for i, (_, y) in enumerate(starts(points, k))]
     if not centres:
         return points.withColumn("cluster", F.lit(0))
     now = settle(points.withColumn("cluster", nearest("x", centres).getField("c")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamine.functions.settle import settle
@@ -13,7 +13,23 @@ from stratamine.operators.relational import shared
 
 def co_occurrence(rows: DataFrame, key: str, member: str, at_least: int) -> DataFrame:
     """Edges between keys that share at least so many members; rows are distinct (key, member)."""
-    pairs = shared(rows, key, member, at_least)
+    return _both_ways(shared(rows, key, member, at_least))
+
+
+def strongest(rows: DataFrame, key: str, member: str, share: int) -> DataFrame:
+    """Edges between keys that share at least t members: the least t from 2 on that leaves one edge for ``share`` keys at
+    most. Rows are distinct (key, member). None if no t does."""
+    pairs = settle(shared(rows, key, member, 2))
+    most, total, least = rows.select(key).distinct().count() / share, 0, None
+    for r in pairs.groupBy("both").agg(F.count("*").alias("n")).orderBy(F.desc("both")).collect():  # a row for each number shared
+        total += r["n"]
+        if total > most:
+            break
+        least = r["both"]
+    return _both_ways(pairs.where(F.col("both") >= F.lit(least).cast("long")))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct(F.col("k1").alias("src"), F.col("k2").alias("dst")), F.struct(F.col("k2").alias("src"), F.col("k1").alias("dst")))).alias("e")).select("e.*")
 
 
@@ -217,3 +233,20 @@ def most_between(betweenness: DataFrame) -> DataFrame:
 def nearest_first(df: DataFrame, by: str, *order: str) -> DataFrame:
     """The first row of each key in an order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def path_search(points: DataFrame, edges: DataFrame, start: Column, goal: Column, most: int = 10) -> DataFrame:
+    """All shortest paths of at most ``most`` edges along directed edges (src, dst) from vertices (id and more) where
+    ``start`` holds to those where ``goal`` does: path (array of ids). A vertex for which both hold is a path of its own.
+    No rows if none is reached."""
+    goals = points.where(goal).select(F.col("id").alias("g"))
+    now = settle(points.where(start).select("id", F.array("id").alias("path")))
+    seen = now.select("id").distinct()
+    for step in range(most + 1):
+        found = now.join(goals, F.col("id") == F.col("g"), "left_semi").select("path")
+        if step == most or not now.limit(1).count() or found.limit(1).count():
+            return found
+        ahead = now.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        now = settle(ahead.distinct().join(seen, "id", "left_anti"))
+        seen = settle(seen.unionByName(now.select("id").distinct()))
+    return found

@@ -9,16 +9,19 @@ from stratamine.functions.settle import settle
 from stratamine.operators import graph
 from stratamine.plans.registry import R, query, reviews
 
-SHARED, PATHS, ROUNDS, DEPTH, LEVELS = 7, 8, 5, 4, 16
+ROUNDS, DEPTH, LEVELS = 5, 4, 16
+#: There is at most one edge for so many customers, whatever the size of the tables: those with the most parts in common.
+SHARED, PATHS = 4, 20
 
 
-def _edges(spark: SparkSession, sf_dir: str, at_least: int) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str, share: int) -> DataFrame:
     rows = reviews(spark, sf_dir).select("u", "b").distinct()
-    return settle(graph.co_occurrence(rows, "u", "b", at_least))
+    return settle(graph.strongest(rows, "u", "b", share))
 
 
-def _e(at_least: int) -> str:
-    return f"""ub AS MATERIALIZED (SELECT DISTINCT u, b FROM {R}), pr AS MATERIALIZED (SELECT x.u AS a, y.u AS b FROM ub x JOIN ub y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2 HAVING count(*) >= {at_least}),
+def _e(share: int) -> str:
+    return f"""ub AS MATERIALIZED (SELECT DISTINCT u, b FROM {R}), pc AS MATERIALIZED (SELECT x.u AS a, y.u AS b, count(*) AS c FROM ub x JOIN ub y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2 HAVING count(*) >= 2),
+    th AS (SELECT min(c) AS t FROM (SELECT c, sum(count(*)) OVER (ORDER BY c DESC) AS n FROM pc GROUP BY c) WHERE n <= (SELECT count(DISTINCT u) FROM ub) / {share}), pr AS MATERIALIZED (SELECT a, b FROM pc WHERE c >= (SELECT t FROM th)),
     e AS MATERIALIZED (SELECT a AS src, b AS dst FROM pr UNION ALL SELECT b, a FROM pr)"""
 
 

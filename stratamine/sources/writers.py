@@ -51,3 +51,9 @@ def model_tables(profiles: DataFrame, users: DataFrame, path: str) -> None:
     """A content model as two Parquet tables."""
     profiles.write.mode("overwrite").parquet(f"{path}/profiles")
     users.write.mode("overwrite").parquet(f"{path}/users")
+
+
+def cluster_report(rounds: DataFrame, clusters: DataFrame, path: str) -> None:
+    """The numbers of each round as CSV with a header, and each point's cluster as a line of JSON."""
+    csv_table(rounds, f"{path}/rounds")
+    json_lines(clusters, f"{path}/clusters")

@@ -77,6 +77,11 @@ def append_csv(df: DataFrame, path: str, log: str):
     return df.writeStream.outputMode("append").format("csv").option("header", True).option("checkpointLocation", log).start(path)
 
 
+def append_text(df: DataFrame, line: Column, path: str, log: str):
+    """Starts a query that appends a line of text for each row of each batch."""
+    return df.select(line.alias("value")).writeStream.outputMode("append").format("text").option("checkpointLocation", log).start(path)
+
+
 def events(spark: SparkSession, path: str) -> DataFrame:
     from stratamine.sources.readers import file_stream
 

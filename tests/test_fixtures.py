@@ -194,3 +194,54 @@ def test_paths_from_every_vertex_without_a_depth(spark):
     got = graph.shortest_paths(edges, edges.select(F.col("src").alias("id")).distinct()).collect()
     assert {(r["root"], r["node"], r["dist"], r["sigma"]) for r in got} == want and len(got) == len(want)
     assert max(d for _, _, d, _ in want) > 4 and max(n for *_, n in want) > 1
+
+
+def test_path_search(spark):
+    points = spark.createDataFrame([(i, n) for i, n in enumerate("abcdef")], "id long, name string")
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 0)], "src long, dst long")
+    find = lambda a, b, most=10: sorted(r["path"] for r in graph.path_search(points, edges, F.col("name") == a, F.col("name") == b, most).collect())
+    assert find("a", "d") == [[0, 1, 3], [0, 2, 3]] and find("a", "e") == [[0, 1, 3, 4], [0, 2, 3, 4]]
+    assert find("a", "a") == [[0]] and find("a", "f") == [] and find("a", "e", 2) == []
+
+
+def test_strongest_edges(spark):
+    rows = spark.createDataFrame([(k, m) for k, ms in enumerate(["abcd", "abcd", "abx", "aby", "q", "r", "s", "t"]) for m in ms], "k long, m string")
+    got = sorted((r["src"], r["dst"]) for r in graph.strongest(rows, "k", "m", 4).collect())
+    assert got == [(0, 1), (1, 0)]  # six pairs share two, one shares four
+    assert graph.strongest(rows, "k", "m", 100).count() == 0
+
+
+def test_long_sets_are_verified_too(spark, monkeypatch):
+    from stratamine.operators import similarity
+
+    rows = spark.createDataFrame([(k, m) for k, n in ((1, 30), (2, 27), (3, 4), (4, 3)) for m in range(n)], "k long, m long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "k1 long, k2 long")
+    want = [(1, 2, 27, 0.9), (3, 4, 3, 0.75)]
+    for short in (10_000, 10, 1):
+        monkeypatch.setattr(similarity, "SHORT", short)
+        assert sorted(map(tuple, similarity.verified(pairs, rows, "k", "m", 0.5).collect())) == want
+
+
+def test_review_words_split_at_backslashes(spark):
+    from stratamine.functions.text import review_words
+
+    assert spark.createDataFrame([("a\\b-c",)], "t string").select(review_words(F.col("t"))).first()[0] == ["a", "b", "c"]
+
+
+def test_random_starts(spark):
+    from stratamine.operators import cluster
+
+    points = spark.createDataFrame([(i, [float(i % 2) * 10, float(i)]) for i in range(12)], "id long, x array<double>")
+    found = cluster.kmeans(points, 3, start="random").collect()
+    assert len(found) == 12 and {r["cluster"] for r in found} <= {0, 1, 2}
+    assert cluster.first_by_hash(points, 3) == cluster.first_by_hash(points.repartition(5), 3)
+
+
+def test_cluster_report(spark, tmp_path):
+    from stratamine.sources import readers, writers
+
+    rounds = spark.createDataFrame([(1, 5), (2, 7)], "round int, n int")
+    clusters = spark.createDataFrame([("a", 0), ("b", -1)], "id string, cluster int")
+    writers.cluster_report(rounds, clusters, str(tmp_path))
+    assert sorted(map(tuple, readers.csv_table(spark, f"{tmp_path}/rounds", "round int, n int").collect())) == [(1, 5), (2, 7)]
+    assert sorted(map(tuple, readers.json_lines(spark, f"{tmp_path}/clusters", "id string, cluster int").collect())) == [("a", 0), ("b", -1)]

@@ -42,11 +42,7 @@ def duck():
 from stratamine.plans import catalog  # noqa: E402
 
 
-#: On the smallest tables this graph is too dense to be cut edge by edge; test_fixtures has it.
-DENSE = {"girvan_newman"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - DENSE))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(name, spark, duck):
     got = catalog.QUERIES[name](spark, DIR)
     rows = got.collect()
