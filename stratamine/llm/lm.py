@@ -235,7 +235,7 @@ def score(df: DataFrame, held_out: Column, order: int = 3, deleted_share: int =
         for k in range(order):
             code = code * span + (q[:, k] - NEVER)
         key, at, where = np.unique(code, return_index=True, return_inverse=True)
-        sums = [np.bincount(where, p[:, k] * times, len(key)) for k in range(order)]
+        sums = [np.bincount(where, p[:, k] * times, len(key)).astype(float) for k in range(order)]
         columns = [pa.array(bucket[at], pa.int32()), *(pa.array(q[at, k], pa.int32()) for k in range(order)), pa.array(np.bincount(where, times, len(key)).astype(np.int64)), *map(pa.array, sums)]
         return pa.Table.from_arrays(columns, names=names)
 

@@ -157,6 +157,15 @@ def test_other_tokenizers(corpus):
     assert {(r["doc_id"], r["n_tokens"]) for r in tokens.count_tokens(corpus, path).collect()} == {(r["doc_id"], len(s.encode(r["text"]))) for r in rows}
 
 
+def test_lengths_of_frequent_pretokens_are_looked_up():
+    keys = np.unique(np.random.default_rng(4).integers(1, 2**63, 3000, dtype=np.uint64))
+    table = bpe.Lengths(keys, np.arange(len(keys)) % 9 + 1)
+    assert (table.find(keys) == np.arange(len(keys)) % 9 + 1).all()
+    other = keys + np.uint64(1)
+    assert (table.find(other)[~np.isin(other, keys)] == 0).all()
+    assert (bpe.Lengths(keys[:0], np.zeros(0, np.int64)).find(keys) == 0).all()
+
+
 def test_best_filling():
     rng = random.Random(2)
     for _ in range(200):
@@ -195,6 +204,46 @@ def test_join_of_a_large_family(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in jaccard.join(df, 3, num, 100).collect()} == want
 
 
+@pytest.mark.parametrize("light", [0, 3, 12])
+def test_join_is_exact_at_any_boundary_and_with_long_lists(corpus, monkeypatch, light):
+    monkeypatch.setattr(jaccard.Rule, "boundary", lambda self, histogram, length: min(light, self.most))
+    monkeypatch.setattr(jaccard, "LONG_LIST", 2)  # lists of more sets are dealt into parts
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(jaccard, "RANGE", 500)
+    sets = sets_of([(r["doc_id"], r["text"]) for r in corpus.collect()], 3)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(corpus, 3, 8, 10).collect()} == brute_components(sets, 8, 10)
+
+
+def test_boundary_follows_costs():
+    r = jaccard.Rule(9, 10)
+    assert r.boundary({}, 1.0) == 0 and r.boundary({2: 100}, 1.0) <= r.boundary({2: 100}, 50.0)
+    assert r.boundary({10: 100}, 10**6) >= 10 and r.most >= 20
+
+
+def test_rarity_never_falls():
+    n = np.unique(np.r_[np.arange(1000), np.logspace(3, 9, 500).astype(np.int64)])
+    assert (np.diff(jaccard.rarity(n).astype(int)) >= 0).all() and (jaccard.counts_of(jaccard.rarity(n)) <= n + 1e-6).all()
+
+
+def test_join_ties_the_texts_of_an_id(spark):
+    t = [" ".join(f"{c}{i}" for i in range(12)) for c in "abc"]
+    df = spark.createDataFrame([(5, t[0]), (5, t[1]), (5, ""), (3, t[1]), (9, t[0]), (7, t[2]), (7, t[2]), (None, t[0])], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.join(df, 3, 9, 10).collect())
+    assert got == [(0, 10, None), (3, 10, 3), (5, 0, 3), (5, 10, 3), (5, 10, 3), (7, 10, 7), (7, 10, 7), (9, 10, 3)]
+
+
+def test_joins_and_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 3)
+    monkeypatch.setattr(graph, "SHARES", 4)
+    edges = [(0, i) for i in range(1, 30)] + [(50, 60), (60, 61), (61, 62)] + [(i, 100 + i) for i in range(1, 10)]
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in [*range(30), *range(101, 110)]) and {got[i] for i in (50, 60, 61, 62)} == {50}
+    rows = spark.createDataFrame([("h", i) for i in range(20)] + [("a", 1), ("z", 2)], "k string, v int")
+    facts = spark.createDataFrame([("h", 20, "hub"), ("a", 1, "leaf")], "k string, n long, f string")
+    made = graph.hub_join(rows, facts, "k", 22, how="left")
+    assert Counter(r["f"] for r in made.collect()) == {"hub": 20, "leaf": 1, None: 1}
+
+
 def test_join_of_odd_rows(odd):
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard.join(odd, 3, 90, 100).collect())
     assert len(got) == 13
@@ -225,6 +274,30 @@ def test_scores_are_a_language_model(corpus, odd, order):
         assert all(r["train_tokens"] == n and r["score"] < 0 and r["held_out"] == out(r["doc_id"]) for r in got)
 
 
+def test_repeated_rows_count_and_give_rows(spark):
+    once = [(1, "a b c d"), (2, "b c d e f"), (3, "x y")]
+    rows = once + [once[0]] * 4 + [(None, "a b c d")] * 2
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") == 3).collect()
+    train = Counter(w for i, t in rows if i != 3 for w in [*t.split(), None])
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert {r["train_tokens"] for r in got} == {sum(train.values())} and {r["n_known"] for r in got if r["doc_id"] == 3} == {1}
+
+
+def test_weights_are_those_of_expectation_maximisation():
+    rng = np.random.default_rng(3)
+    p, n, uniform = rng.random((40, 3)) ** 3, rng.integers(1, 9, 40).astype(float), 0.001
+    w = lm.learn({2: (n, p)}, 3, uniform)
+    estimates, mine = [[uniform, *x] for x in p.tolist()], [0.25] * 4
+    for _ in range(60):  # each token by itself
+        got = [0.5] * 4
+        for count, e in zip(n.tolist(), estimates, strict=True):
+            for _ in range(int(count)):
+                total = sum(a * b for a, b in zip(mine, e, strict=True))
+                got = [g + a * b / total for g, a, b in zip(got, mine, e, strict=True)]
+        mine = [g / sum(got) for g in got]
+    assert np.allclose(w[2], mine, atol=1e-9) and np.allclose(w[5], w[2]) and np.allclose(w[0], 0.25)
+
+
 def test_scores_beat_the_base_on_text_with_structure(spark):
     rng = random.Random(3)
     follow = {w: [rng.randrange(60) for _ in range(3)] for w in range(60)}
@@ -452,6 +525,26 @@ def test_long_secrets_are_found_to_their_end(spark):
     assert secrets.scan(mixed) == [("novel", 12, 513), ("hex", 513, 545), ("novel", 545, 1046)]
 
 
+def test_a_bearer_token_is_found_whole():
+    rng = random.Random(23)
+    pick = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    head, body, tail = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", pick(80), pick(43)
+    text = f"Authorization: Bearer {head}.{body}.{tail}"
+    found = [text[a:b] for _, a, b in secrets.scan(text)]
+    assert body in found
+    plain = f"the credential is {pick(600)} and no more"
+    assert [b - a for _, a, b in secrets.scan(plain)] == [600]
+
+
+def test_planted_secrets_are_counted():
+    rng = random.Random(29)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(rng.randint(24, 64))) for _ in range(200)]
+    words = [" ".join(rng.choice(["user", "access", "build_config_value", "index", "page2", "the"]) for _ in range(20)) for _ in keys]
+    hits = sum(any(t[a:b] == k for kind, a, b in secrets.scan(t) if kind == "novel") for k, w in zip(keys, words, strict=True) for t in [f"{w} credential {k} {w}"])
+    assert hits >= 195 and not any(secrets.scan(f"{w} credential {w}") for w in words)
+
+
 def test_every_sensitive_word_has_its_reach():
     rng = random.Random(19)
     one, two, three = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20)) for _ in range(3))
@@ -505,3 +598,16 @@ def test_pipeline(spark, tmp_path):
     assert ids["secrets"] == ids["near_copies"] == {r["doc_id"] for r in kept["packing"].collect()}
     assert kept["secrets"].where("text like '%hunter22%'").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(ids["packing"])
+
+
+def test_pipeline_without_rows_and_with_repeated_ids(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, f in corpus_pipeline.STAGES:
+        made = f(spark, empty, str(tmp_path))
+        assert made.count() == 0 and (name == "packing" or made.columns == corpus_pipeline.COLUMNS)
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [(4, t, "aa", "s", 1, 0), (4, t, "aa", "s", 1, 1), (6, t, "aa", "s", 1, 2), (None, t, "aa", "s", 1, 3), (8, None, None, None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id int")
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == ["4", "8", "None"]
