@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 import numpy as np
@@ -113,7 +114,7 @@ ROUND = "round_id int, nof_cluster_discard int, nof_point_discard long, nof_clus
 
 class BFR:
     """Bradley-Fayyad-Reina: clusters too large for memory, in rounds. What stays on the driver are summaries (number,
-    sum, sum of squares); points keep their set and cluster in tables. A round assigns all its points against the
+    sum, sum of squares); points keep their cluster in tables that only grow. A round assigns all its points against the
     summaries as they were before it, so rows' order does not matter."""
 
     def __init__(self, k: int, alpha: int = 3, rounds: int = 5, init: int = 50_000):
@@ -121,7 +122,8 @@ class BFR:
         self.discard: dict[int, list] = {}
         self.compressed: dict[int, list] = {}
         self.next = 0
-        self.assigned: DataFrame | None = None  # id, x, kind (DS, CS), cluster
+        self.parts: list[DataFrame] = []  # id, cluster: what a step has assigned, never written again
+        self.merged: dict[int, int] = {}  # compressed clusters and those that took them in; no number is used twice
         self.retained: DataFrame | None = None  # id, x
         self.log: list[tuple] = []
 
@@ -135,8 +137,7 @@ class BFR:
             into[c] = [into[c][0] + n, into[c][1] + t, into[c][2] + q] if c in into else [n, t, q]
 
     def _keep(self, points: DataFrame) -> None:
-        rows = points.select("id", "x", "kind", "cluster")
-        self.assigned = settle(rows if self.assigned is None else self.assigned.unionByName(rows))
+        self.parts.append(settle(points.select("id", F.col("cluster").cast("int").alias("cluster"))))
 
     def _split(self, points: DataFrame) -> None:
         """Clusters of several points become compressed ones, single points stay retained."""
@@ -147,7 +148,7 @@ class BFR:
         made = kmeans(points.select("id", "x"), k, self.rounds)
         size = made.groupBy("cluster").agg(F.count("*").alias("n"))
         made = settle(made.join(size, "cluster"))
-        several = made.where("n > 1").withColumn("cluster", F.col("cluster") + self.next).withColumn("kind", F.lit("CS"))
+        several = made.where("n > 1").withColumn("cluster", F.col("cluster") + self.next)
         self._fold(self.compressed, self._summaries(several))
         self.next += k
         self._keep(several)
@@ -159,26 +160,26 @@ class BFR:
         size = made.groupBy("cluster").agg(F.count("*").alias("n"))
         single = settle(made.join(size, "cluster").where("n = 1").select("id", "x"))
         rest = points.join(single.select("id"), "id", "left_anti")
-        done = kmeans(rest, self.k, 100).withColumn("kind", F.lit("DS"))
+        done = kmeans(rest, self.k, 100)
         self._fold(self.discard, self._summaries(done))
         self.next = max([self.next, *(c + 1 for c in self.discard)])
         self._keep(done)
         self._split(single)
         self._report()
 
-    def _assign(self, points: DataFrame, into: dict[int, list], kind: str, limit: float) -> DataFrame:
+    def _assign(self, points: DataFrame, into: dict[int, list], limit: float) -> DataFrame:
         if not into:
             return points
         best = settle(points.withColumn("b", mahalanobis_nearest("x", [(c, *s) for c, s in sorted(into.items())])))
-        near = best.where(F.col("b.d") < limit).withColumn("cluster", F.col("b.c")).withColumn("kind", F.lit(kind))
+        near = best.where(F.col("b.d") < limit).withColumn("cluster", F.col("b.c"))
         self._fold(into, self._summaries(near))
         self._keep(near)
         return best.where(~(F.col("b.d") < limit)).select("id", "x")
 
     def more(self, points: DataFrame, dim: int) -> None:
         limit = 2 * sqrt(dim)
-        left = self._assign(points.select("id", "x"), self.discard, "DS", limit)
-        left = self._assign(left, self.compressed, "CS", limit)
+        left = self._assign(points.select("id", "x"), self.discard, limit)
+        left = self._assign(left, self.compressed, limit)
         self._split(settle(left if self.retained is None else left.unionByName(self.retained)))
         self._merge(limit)
         self._report()
@@ -189,12 +190,7 @@ class BFR:
             if i not in moved and j not in moved:
                 moved[i] = j
                 self._fold(self.compressed, {j: self.compressed.pop(i)})
-        self._rename("CS", moved)
-
-    def _rename(self, kind: str, moved: dict[int, int]) -> None:
-        if moved:
-            to = F.create_map(*(F.lit(v) for pair in moved.items() for v in pair))
-            self.assigned = settle(self.assigned.withColumn("cluster", F.when(F.col("kind") == kind, F.coalesce(to[F.col("cluster")], F.col("cluster"))).otherwise(F.col("cluster"))))
+        self.merged |= moved
 
     def _report(self) -> None:
         count = lambda sets: int(sum(s[0] for s in sets.values()))
@@ -204,10 +200,18 @@ class BFR:
         """id, cluster of every point: compressed clusters and retained points go to the nearest discard cluster."""
         every = [(c, *s) for c, s in sorted(self.discard.items())]
         near = lambda y: min(((_distance(y, *s[1:]), s[0]) for s in every))[1]
-        moved = {c: near(s[1] / s[0]) for c, s in self.compressed.items()}
-        self._rename("CS", moved)
+        home = {c: near(s[1] / s[0]) for c, s in self.compressed.items()}
+        for c in self.merged:
+            to = c
+            while to in self.merged:
+                to = self.merged[to]
+            home[c] = home[to]
         rest = self.retained.select("id", mahalanobis_nearest("x", every).getField("c").alias("cluster"))
-        return self.assigned.select("id", "cluster").unionByName(rest)
+        found = reduce(DataFrame.unionByName, self.parts)
+        if home:  # some entries for each round
+            to = F.create_map(*(F.lit(v) for pair in home.items() for v in pair))
+            found = found.withColumn("cluster", F.coalesce(to[F.col("cluster")], F.col("cluster")))
+        return found.unionByName(rest)
 
 
 def bfr(chunks: list[DataFrame], k: int, dim: int, **settings) -> BFR:

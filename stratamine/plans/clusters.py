@@ -41,12 +41,30 @@ def kmeans_lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("cluster", "n", F.posexplode("total").alias("dim", "t")).select("cluster", "dim", F.round(F.col("t") / F.col("n"), 5).alias("mean"))
 
 
-def _farthest() -> str:
+def _starts() -> tuple[list[str], str]:
+    """The steps to the farthest-first starts, and what selects them."""
     steps = [X, "p1 AS MATERIALIZED (SELECT min(vec_id) AS id FROM embeddings)", "d1 AS MATERIALIZED (SELECT x.vec_id, sum((x.v - y.v) * (x.v - y.v)) AS d FROM x JOIN x y USING (i) WHERE y.vec_id = (SELECT id FROM p1) GROUP BY 1)"]
     for i in range(2, K + 1):
         steps.append(f"p{i} AS MATERIALIZED (SELECT vec_id AS id FROM d{i - 1} ORDER BY d DESC, vec_id LIMIT 1)")
         steps.append(f"d{i} AS MATERIALIZED (SELECT d{i - 1}.vec_id, least(any_value(d), sum((x.v - y.v) * (x.v - y.v))) AS d FROM d{i - 1} JOIN x USING (vec_id) JOIN x y USING (i) WHERE y.vec_id = (SELECT id FROM p{i}) GROUP BY 1)")
-    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {i - 1} AS place, id FROM p{i}" for i in range(1, K + 1))
+    return steps, " UNION ALL ".join(f"SELECT {i - 1} AS place, id FROM p{i}" for i in range(1, K + 1))
+
+
+def _farthest() -> str:
+    steps, chosen = _starts()
+    return f"WITH {', '.join(steps)} {chosen}"
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds after the one in which no point moves change nothing, so all are written out."""
+    steps, chosen = _starts()
+    steps.append("v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL)")
+    steps.append(f"c0 AS MATERIALIZED (SELECT place AS c, e AS y FROM ({chosen}) JOIN v ON id = vec_id)")
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, c FROM (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(e, y), c) AS n FROM v, c{r}) WHERE n = 1)")
+        mean = f"SELECT c, list(t ORDER BY i) AS t FROM (SELECT c, i, avg(v) AS t FROM a{r} JOIN x USING (vec_id) GROUP BY 1, 2) GROUP BY 1"
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(t, y) AS y FROM c{r} o LEFT JOIN ({mean}) m ON o.c = m.c)")
+    return f"WITH {', '.join(steps)} SELECT vec_id AS id, c AS cluster FROM a{rounds}"
 
 
 @query(_farthest())
@@ -88,9 +106,9 @@ def cs_merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, j, round(d, 5)) for i, j, d in found], "i int, j int, distance double")
 
 
-@query()
+@query(_lloyd(30))
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.kmeans(_points(spark, sf_dir).select("id", "x"), K).select("id", "cluster")
+    return cluster.kmeans(_points(spark, sf_dir).select("id", "x"), K, 30).select("id", "cluster")
 
 
 def _bfr(spark: SparkSession, sf_dir: str) -> cluster.BFR:

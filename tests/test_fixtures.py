@@ -245,3 +245,36 @@ def test_cluster_report(spark, tmp_path):
     writers.cluster_report(rounds, clusters, str(tmp_path))
     assert sorted(map(tuple, readers.csv_table(spark, f"{tmp_path}/rounds", "round int, n int").collect())) == [(1, 5), (2, 7)]
     assert sorted(map(tuple, readers.json_lines(spark, f"{tmp_path}/clusters", "id string, cluster int").collect())) == [("a", 0), ("b", -1)]
+
+
+def test_pushed_stream(spark, tmp_path):
+    from stratamine.sources.push import keeps, pushed
+
+    sent = [("The Album is out", "en"), ("das album", "de"), ("nothing here", "en"), (None, "en"), ("album 2", "en")]
+
+    def feed(at):
+        return sent[at : at + 2], min(at + 2, len(sent))
+
+    assert [keeps(*r, ["album"], ["en"]) for r in sent] == [True, False, False, False, True]
+    assert all(keeps(*r, [], []) for r in sent)
+    query = pushed(spark, feed, ["ALBUM"], ["en"]).writeStream.format("memory").queryName("fed").option("checkpointLocation", str(tmp_path)).trigger(processingTime="0 seconds").start()
+    try:
+        for _ in range(60):
+            query.awaitTermination(1)
+            if spark.table("fed").count() >= 2:
+                break
+        assert sorted(r["text"] for r in spark.table("fed").collect()) == ["The Album is out", "album 2"]
+    finally:
+        query.stop()
+
+
+def test_merged_clusters_reach_their_last_home(spark):
+    import numpy as np
+
+    made = cluster.BFR(2)
+    made.parts = [spark.createDataFrame([(1, 0), (2, 1), (3, 5), (4, 6), (5, 7)], "id long, cluster int")]
+    made.retained = spark.createDataFrame([(6, [9.0])], "id long, x array<double>")
+    made.discard = {0: [2, np.array([0.0]), np.array([2.0])], 1: [2, np.array([20.0]), np.array([202.0])]}
+    made.compressed = {7: [2, np.array([19.0]), np.array([181.0])]}
+    made.merged = {5: 6, 6: 7}
+    assert {r["id"]: r["cluster"] for r in made.last().collect()} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
