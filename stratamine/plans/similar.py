@@ -50,9 +50,7 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_overlap('b', 'u')}, {_signature('b', 'u', ITEM_HASHES)} SELECT j.* FROM j JOIN cd USING (k1, k2) WHERE jaccard >= {THRESHOLD}")
 def lsh_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratings = _ratings(spark, sf_dir)
-    pairs = similarity.banded_pairs(similarity.signatures(ratings, "b", F.col("u"), ITEM_HASHES))
-    return similarity.verified(pairs, ratings, "b", "u", THRESHOLD)
+    return similarity.banded_similar(_ratings(spark, sf_dir), "b", "u", F.col("u"), ITEM_HASHES, THRESHOLD)
 
 
 @query(f"WITH {_overlap('b', 'u')}, {_signature('b', 'u', ITEM_HASHES)} SELECT (SELECT count(*) FROM j JOIN cd USING (k1, k2) WHERE jaccard >= {THRESHOLD}) AS found, (SELECT count(*) FROM j WHERE jaccard >= {THRESHOLD}) AS there")

@@ -211,15 +211,14 @@ def test_strongest_edges(spark):
     assert graph.strongest(rows, "k", "m", 100).count() == 0
 
 
-def test_long_sets_are_verified_too(spark, monkeypatch):
-    from stratamine.operators import similarity
-
-    rows = spark.createDataFrame([(k, m) for k, n in ((1, 30), (2, 27), (3, 4), (4, 3)) for m in range(n)], "k long, m long")
-    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "k1 long, k2 long")
-    want = [(1, 2, 27, 0.9), (3, 4, 3, 0.75)]
-    for short in (10_000, 10, 1):
-        monkeypatch.setattr(similarity, "SHORT", short)
-        assert sorted(map(tuple, similarity.verified(pairs, rows, "k", "m", 0.5).collect())) == want
+def test_banded_pairs_are_checked_at_every_size(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, m) for k, n in ((1, 30), (2, 27), (3, 4), (4, 3)) for m in range(n)] + [(5, None), (6, None)], "k long, m long")
+    number, hashes = F.col("m"), hashing.family(35)
+    for threshold, at_least, want in ((0.5, 1, [(1, 2, 27, 0.9), (3, 4, 3, 0.75)]), (0.5, 4, [(1, 2, 27, 0.9)]), (0.8, 1, [(1, 2, 27, 0.9)])):
+        for short in (10_000, 10, 1):
+            monkeypatch.setattr(similarity, "SHORT", short)
+            assert sorted(map(tuple, similarity.banded_similar(rows, "k", "m", number, hashes, threshold, at_least).collect())) == want
+    assert similarity.banded_similar(rows.limit(0), "k", "m", number, hashes, 0.5).count() == 0
 
 
 def test_review_words_split_at_backslashes(spark):
