@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratamine.functions.settle import settle
+
 
 def baskets(df: DataFrame, basket: str, item: str, more_than: int = 0) -> DataFrame:
     """basket and items (sorted distinct array), of baskets with more than so many items."""
@@ -40,7 +42,8 @@ def bucket_of(a: Column, b: Column, buckets: int) -> Column:
 def frequent_pairs_by_buckets(rows: DataFrame, support: int, buckets: int = 4096) -> DataFrame:
     """Frequent pairs, counted only in hash buckets whose pairs together reach the support."""
     singles = rows.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    x, y = rows.join(singles, "item", "left_semi").alias("x"), rows.alias("y")
+    kept = rows.join(singles, "item", "left_semi")
+    x, y = kept.alias("x"), kept.alias("y")
     pairs = x.join(y, (F.col("x.basket") == F.col("y.basket")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
     pairs = pairs.withColumn("bucket", bucket_of(F.col("a"), F.col("b"), buckets))
     full = pairs.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("bucket")
@@ -48,21 +51,26 @@ def frequent_pairs_by_buckets(rows: DataFrame, support: int, buckets: int = 4096
     return counts.where(F.col("support") >= support).select(F.array("a", "b").alias("items"), "support")
 
 
-def chunk_candidates(rows: DataFrame, chunk: Column, chunks: int, support: int, k: int) -> DataFrame:
-    """Itemsets of up to k items that are frequent in some chunk, for the share of the support that falls to the
-    chunk's baskets: items and chunks (how many have it). No set that is frequent in all is missing."""
+def chunk_candidates(rows: DataFrame, chunk: Column, support: int, k: int | None = None) -> DataFrame:
+    """Itemsets that are frequent in some chunk, for the share of the support that falls to the chunk's baskets: items
+    and chunks (how many have it). No set that is frequent in all is missing. Sets have up to k items; without k, levels
+    go on until one has no set, each from the checkpoint of the one before."""
     rows = rows.withColumn("chunk", chunk)
     sizes = rows.groupBy("chunk").agg(F.countDistinct("basket").alias("n"))
     total = sizes.agg(F.sum("n").alias("total"))
     least = sizes.join(F.broadcast(total)).select("chunk", F.greatest(F.lit(1), F.floor(F.lit(support) * F.col("n") / F.col("total"))).alias("least"))  # one row of totals beside one row a chunk
-    out, level = [], None
     single = rows.groupBy("chunk", "item").agg(F.count("*").alias("c")).join(F.broadcast(least), "chunk").where(F.col("c") >= F.col("least")).select("chunk", "item")
     kept = rows.join(single, ["chunk", "item"], "left_semi")
     level, good = kept.select("chunk", "basket", F.array("item").alias("items")), single.select("chunk", F.array("item").alias("items"))
-    out.append(good)
-    for _ in range(1, k):
+    out = [good]
+    while k is None or len(out) < k:
         level = level.join(good, ["chunk", "items"], "left_semi").join(kept, ["chunk", "basket"]).where(F.col("item") > F.element_at("items", -1)).select("chunk", "basket", F.concat("items", F.array("item")).alias("items"))
+        level = settle(level) if k is None else level
         good = level.groupBy("chunk", "items").agg(F.count("*").alias("c")).join(F.broadcast(least), "chunk").where(F.col("c") >= F.col("least")).select("chunk", "items")
+        if k is None:
+            good = settle(good)
+            if good.isEmpty():
+                break
         out.append(good)
     return reduce(DataFrame.unionByName, out).groupBy("items").agg(F.count("*").alias("chunks"))
 
@@ -75,10 +83,10 @@ def count_candidates(rows: DataFrame, candidates: DataFrame, support: int) -> Da
     return hits.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support)
 
 
-def by_growth(rows: DataFrame, support: int, total: int, most: int = 3) -> DataFrame:
-    """Frequent itemsets of up to ``most`` items by pattern growth."""
+def by_growth(rows: DataFrame, support: int, total: int) -> DataFrame:
+    """Frequent itemsets of every size by pattern growth."""
     from pyspark.ml.fpm import FPGrowth
 
     sets = rows.groupBy("basket").agg(F.collect_list("item").alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(support - 0.5) / total, minConfidence=1.0).fit(sets)
-    return model.freqItemsets.where(F.size("items") <= most).select(F.sort_array("items").alias("items"), F.col("freq").alias("support"))
+    return model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").alias("support"))

@@ -55,23 +55,26 @@ def pcy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(itemsets.frequent_pairs_by_buckets(_rows(spark, sf_dir), SUPPORT))
 
 
-@query(f"""WITH e AS (SELECT *, basket % {CHUNKS} AS chunk FROM {E}), n AS (SELECT chunk, count(DISTINCT basket) AS n FROM e GROUP BY chunk),
+#: Every subset of every basket, with its largest item.
+SUBSETS = "e AS MATERIALIZED (SELECT *, basket % {0} AS chunk FROM " + E + "), s(chunk, basket, items, last) AS (SELECT chunk, basket, CAST(item AS VARCHAR), item FROM e UNION ALL SELECT s.chunk, s.basket, s.items || ',' || e.item, e.item FROM s JOIN e USING (basket) WHERE e.item > s.last)"
+EVERY = f"WITH RECURSIVE {SUBSETS.format(1)} SELECT items, count(*) AS support FROM s GROUP BY items HAVING count(*) >= {SUPPORT}"
+
+
+@query(f"""WITH RECURSIVE {SUBSETS.format(CHUNKS)}, n AS (SELECT chunk, count(DISTINCT basket) AS n FROM e GROUP BY chunk),
 l AS (SELECT chunk, greatest(1, floor({SUPPORT} * n / (SELECT sum(n) FROM n))) AS least FROM n),
-s AS (SELECT chunk, CAST(item AS VARCHAR) AS items, count(*) AS c FROM e GROUP BY chunk, item),
-p AS (SELECT x.chunk, x.item || ',' || y.item AS items, count(*) AS c FROM e x JOIN e y ON x.basket = y.basket AND x.item < y.item GROUP BY x.chunk, x.item, y.item)
-SELECT items, count(*) AS chunks FROM (SELECT * FROM s UNION ALL SELECT * FROM p) a JOIN l USING (chunk) WHERE c >= least GROUP BY items""")
+c AS (SELECT chunk, items, count(*) AS c FROM s GROUP BY ALL) SELECT items, count(*) AS chunks FROM c JOIN l USING (chunk) WHERE c >= least GROUP BY items""")
 def son_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(itemsets.chunk_candidates(_rows(spark, sf_dir), F.pmod("basket", F.lit(CHUNKS)), CHUNKS, SUPPORT, 2))
+    return _shown(itemsets.chunk_candidates(_rows(spark, sf_dir), F.pmod("basket", F.lit(CHUNKS)), SUPPORT))
 
 
-@query(f"{SINGLES.format(SUPPORT)} UNION ALL {PAIRS.format(SUPPORT)}")
+@query(EVERY)
 def son_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    candidates = itemsets.chunk_candidates(rows, F.pmod("basket", F.lit(CHUNKS)), CHUNKS, SUPPORT, 2)
+    candidates = itemsets.chunk_candidates(rows, F.pmod("basket", F.lit(CHUNKS)), SUPPORT)
     return _shown(itemsets.count_candidates(rows, candidates, SUPPORT))
 
 
-@query(f"{SINGLES.format(SUPPORT)} UNION ALL {PAIRS.format(SUPPORT)} UNION ALL {THREES.format(SUPPORT)}")
+@query(EVERY)
 def fpgrowth_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     total = rows.select("basket").distinct().count()

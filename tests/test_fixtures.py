@@ -48,8 +48,9 @@ def test_itemsets(spark):
     assert found == want
     assert as_dict(itemsets.by_growth(rows, 2, 4)) == want
     for chunks in (1, 2, 3):
-        candidates = itemsets.chunk_candidates(rows, F.pmod("basket", F.lit(chunks)), chunks, 2, 3)
-        assert as_dict(itemsets.count_candidates(rows, candidates, 2)) == want
+        for most in (3, None):
+            candidates = itemsets.chunk_candidates(rows, F.pmod("basket", F.lit(chunks)), 2, most)
+            assert as_dict(itemsets.count_candidates(rows, candidates, 2)) == want
     assert as_dict(itemsets.frequent_pairs_by_buckets(rows, 3, 7)) == {(1, 2): 3, (2, 3): 3}
     assert itemsets.baskets(rows, "basket", "item", 2).count() == 2
 
