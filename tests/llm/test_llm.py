@@ -259,6 +259,38 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 60, graph.FEW])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(40)] + [(999, i) for i in range(300, 330)] + [(rng.randrange(-160, -100), rng.randrange(-160, -100)) for _ in range(40)] + [(7, 7), (None, 8)]
+    want = {i: i for x in edges for i in x if None not in x and x[0] != x[1]}
+    while any(want[a] != want[b] for a, b in edges if a in want and b in want):
+        for a, b in edges:
+            if a in want and b in want:
+                want[a] = want[b] = min(want[a], want[b])
+    got = [(r["id"], r["component"]) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert dict(got) == want and len(got) == len(want)
+
+
+def test_few_edges_cost_the_driver_few_tasks(spark):
+    sc, partitions = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few edges", "")
+        assert graph.components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")).count() == 101
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds}
+    ran = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert 40 <= ran <= 40 * 6
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_scores_are_a_language_model(corpus, odd, order):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
