@@ -6,7 +6,9 @@ time by 16 codewords each. The loss weighs the error along a vector more than ac
 the largest inner products; codes and codewords minimise it in turns. A search goes through the codes of all lists,
 since the nearest of vectors without clusters lie in any of them: for each query the table of its products with the
 codewords is read by the four-bit codes (two at a time), and the best by table are ranked by exact products of the
-original vectors, in the task that holds them.
+original vectors, in the task that holds them. Their k-th exact product is a floor: what the codes miss of a vector has
+a known length, so its product is at most that by table and this length times the query's. Every vector that may still
+reach the floor is ranked exactly too; rows that the codes fit badly cost time, not results.
 
 Work is dealt in blocks: a bounded number of vectors, from whole lists or parts of long ones (cells), by a bounded part
 of the queries. Each cell gives its best by table; a block returns what is best in all of its cells.
@@ -29,8 +31,10 @@ SAMPLE = 20_000
 #: Vectors for each list, lists at most, vectors of a cell, vectors and queries of a block.
 LIST, MOST_LISTS, PART, BLOCK, QUERIES = 4096, 4096, 8192, 65_536, 1024
 CODES = 16
-#: Best by table that are ranked exactly, in each cell.
+#: Best by table that are ranked exactly at first, in each cell.
 RERANK = 200
+#: Queries of a block that are looked up together; beyond this share of its vectors their products are taken at once.
+TOGETHER, MANY = 64, 1 / 16
 #: The share of a vector's norm from which inner products matter; it sets the weight of parallel error.
 FROM = 0.2
 
@@ -107,6 +111,10 @@ class Index:
             total += now - along[:, j]
             along[:, j] = now
 
+    def missed(self, rest: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The length of what the codewords leave over."""
+        return np.sqrt(((rest - self.words[np.arange(rest.shape[1]), code]) ** 2).sum((1, 2)))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products with the codewords, for two codes at a time: [query, pair of pairs, byte]."""
         one = np.einsum("qjd,jcd->qjc", self._pairs(q), self.words).astype(np.float32)
@@ -159,6 +167,13 @@ def leading(score: np.ndarray, owner: np.ndarray | None, n: int) -> np.ndarray:
     return np.flatnonzero(score >= np.partition(best, len(best) - n)[len(best) - n]) if len(best) > n else np.arange(len(score))
 
 
+def _kth(ids: np.ndarray, score: np.ndarray, k: int) -> float:
+    """The k-th largest of the ids' best scores; less than any score if there are fewer ids."""
+    order = np.argsort(-score, kind="stable")
+    first = np.sort(np.unique(ids[order], return_index=True)[1])
+    return float(score[order[first[k - 1]]]) if len(first) >= k else -np.inf
+
+
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -173,7 +188,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score (exact inner product, double) of the k nearest found for each row
+    """query_id, rank (from 1), vec_id and score (exact inner product, double) of the k nearest for each row
     where ``query`` (of the column vec_id) is true, among all rows but those with its own id.
 
     Vectors that are null, all zero, or hold a null or non-finite component take no part, nor do rows without an
@@ -201,10 +216,11 @@ def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", ve
         for batch in batches:
             x = _matrix(batch.column(1))
             at = ix.place(x)
-            codes = pack(ix.code(*ix.parts(x, at)))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "vec_id", "vec", "code"])
+            rest, way = ix.parts(x, at)
+            code = ix.code(rest, way)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in pack(code)], pa.binary()), pa.array(ix.missed(rest, code))], names=["list", "vec_id", "vec", "code", "missed"])
 
-    coded = kept.mapInArrow(place, "list int, vec_id long, vec array<double>, code binary").checkpoint()
+    coded = kept.mapInArrow(place, "list int, vec_id long, vec array<double>, code binary, missed double").checkpoint()
     asked = rows.where(query).dropDuplicates(["vec_id", "vec"]).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
     sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
     parts = [ceil(sizes.get(i, 0) / PART) or 1 for i in range(lists)]
@@ -231,18 +247,34 @@ def search(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", ve
                 some, owner = np.unique(v[at], return_inverse=True)
                 members.append((at, np.ascontiguousarray(code[at].T), owner if len(some) < len(at) else None))
             ids, q = left.column("query_id").to_numpy(), _matrix(left.column("q"))
-            for low in range(0, len(ids), 64):
-                table = ix.tables(q[low : low + 64])
-                for i, t in enumerate(table, low):
-                    picked = []
+            lists, missed = right.column("list").to_numpy(), right.column("missed").to_numpy()
+            longest = np.linalg.norm(x, axis=1).max()
+            for low in range(0, len(ids), TOGETHER):
+                some = q[low : low + TOGETHER]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    table, base = ix.tables(some), some @ ix.centres.T
+                every = None
+                for i, (t, centre, length) in enumerate(zip(table, base, np.linalg.norm(some, axis=1), strict=True), low):
+                    picked, bound = [], np.empty(len(v))
                     for at, c, owner in members:
                         # the centre's product is the same for the whole list, so it does not matter within a cell
-                        s = t[0][c[0]]
-                        for j in range(1, len(c)):
-                            s += t[j][c[j]]
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            s = t[0][c[0]]
+                            for j in range(1, len(c)):
+                                s += t[j][c[j]]
+                        bound[at] = s
                         picked.append(at[leading(s, owner, RERANK)])
                     near = np.concatenate(picked)
                     near = near[v[near] != ids[i]]
+                    floor = _kth(v[near], (x[near] * q[i]).sum(1), k)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        bound += centre[lists] + length * (missed + 1e-5 * longest)  # tables are in single precision
+                        near = np.flatnonzero(~(bound < floor) & (v != ids[i]))
+                    if len(near) > MANY * len(v):
+                        every = x @ some.T if every is None else every
+                        exact = every[near, i - low]
+                        floor = max(floor, _kth(v[near], exact, k))
+                        near = near[~(exact < floor - 1e-9 * length * longest)]
                     exact = (x[near] * q[i]).sum(1)
                     best = np.lexsort((v[near], -exact))
                     best = best[np.sort(np.unique(v[near][best], return_index=True)[1])[:k]]  # of each id the best

@@ -394,6 +394,21 @@ def test_nearest_with_repeated_rows(spark):
     assert [r["vec_id"] for r in got] == want and [r["rank"] for r in got] == list(range(1, 21))
 
 
+def test_nearest_where_codes_fit_badly(spark):
+    rng = np.random.default_rng(21)
+    lengths = rng.normal(size=(5000, 24)) * np.exp(2 * rng.normal(size=(5000, 1)))  # a few long vectors among short ones
+    close = rng.normal(size=24) + 0.001 * rng.normal(size=(3000, 24))  # beside others far from all of them
+    for x in (lengths, np.concatenate([close, rng.normal(size=(2000, 24))])):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in ann.search(df, F.pmod("vec_id", F.lit(250)) == 0, 20).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        for q in range(0, 5000, 250):
+            s = (x.astype(float) * x[q].astype(float)).sum(1)
+            assert got[q] == [i for i in np.lexsort((np.arange(5000), -s)).tolist() if i != q][:20]
+
+
 def test_parallel_error_always_weighs_more():
     assert abs(ann.parallel_weight(16, 0.0)) < 1e-6
     assert all(ann.parallel_weight(d) > 0 for d in (2, 3, 16, 64, 1024))
