@@ -278,3 +278,39 @@ def test_merged_clusters_reach_their_last_home(spark):
     made.compressed = {7: [2, np.array([19.0]), np.array([181.0])]}
     made.merged = {5: 6, 6: 7}
     assert {r["id"]: r["cluster"] for r in made.last().collect()} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_pairs_are_counted_where_lists_meet(spark, monkeypatch, named):
+    import math
+    import random
+    import re
+
+    from stratamine.operators import pairs
+
+    rng = random.Random(4)
+    stars = {(k, m): rng.choice([None, 1.0, 2.5, 4.0, 5.0]) for m in range(25) for k in rng.sample(range(40), rng.randint(1, 12)) + [40]}  # 40 is in all
+    name = (lambda k: f"k{k:02}é") if named else (lambda k: k)
+    rows = [(name(k), m, s) for (k, m), s in stars.items()] + [(None, 1, 2.0), (name(1), None, 2.0)]
+    df = spark.createDataFrame(rows, f"b {'string' if named else 'long'}, u long, s double")
+    want = {}
+    for a in range(41):
+        for b in range(a + 1, 41):
+            both = [(stars[a, m], stars[b, m]) for m in range(25) if (a, m) in stars and (b, m) in stars]
+            x, y, xy = [p for p, _ in both if p is not None], [q for _, q in both if q is not None], [(p, q) for p, q in both if None not in (p, q)]
+            dev = lambda v: math.sqrt(sum((i - sum(v) / len(v)) ** 2 for i in v) / len(v)) if v else 0.0
+            spread, mean = round(dev(x) * dev(y), 9), lambda i: sum(p[i] for p in xy) / len(xy)  # noqa: B023
+            if len(both) >= 2:
+                want[name(a), name(b)] = (len(both), sum((p - mean(0)) * (q - mean(1)) for p, q in xy) / len(xy) / spread if xy and spread else 0.0)
+    for most, chunk, batch in ((4_000_000, 1 << 20, 1 << 18), (40, 3, 5)):
+        monkeypatch.setattr(pairs, "PAIRS", most)
+        monkeypatch.setattr(pairs, "CHUNK", chunk)
+        monkeypatch.setattr(pairs, "BATCH", batch)
+        found = recommend.pearson_pairs(df, "b", "u", 2)
+        assert not re.search(r"hashpartitioning\([^,()]+, [^,()]+, \d+\)", found._jdf.queryExecution().toString())  # no pair is moved
+        got = {(r["k1"], r["k2"]): (r["both"], r["sim"]) for r in found.collect()}
+        assert got.keys() == want.keys() and all(got[p][0] == n and abs(got[p][1] - s) < 1e-6 for p, (n, s) in want.items())
+        assert {(r["k1"], r["k2"]): r["both"] for r in relational.shared(df, "b", "u", 2).collect()} == {p: n for p, (n, _) in want.items()}
+        sets = spark.createDataFrame([(1, m) for m in "abcdef"] + [(2, m) for m in "abcx"] + [(3, m) for m in "xyz"], "k int, m string")
+        assert sorted(map(tuple, similarity.jaccard_pairs(sets, "k", "m", 0.3).collect())) == [(1, 2, 3, 0.428571)]
+        assert similarity.jaccard_pairs(sets.where("k = 1"), "k", "m", 0.1).count() == 0
