@@ -314,3 +314,26 @@ def test_pairs_are_counted_where_lists_meet(spark, monkeypatch, named):
         sets = spark.createDataFrame([(1, m) for m in "abcdef"] + [(2, m) for m in "abcx"] + [(3, m) for m in "xyz"], "k int, m string")
         assert sorted(map(tuple, similarity.jaccard_pairs(sets, "k", "m", 0.3).collect())) == [(1, 2, 3, 0.428571)]
         assert similarity.jaccard_pairs(sets.where("k = 1"), "k", "m", 0.1).count() == 0
+
+
+def test_sets_meet_in_ranges_of_bands(spark, monkeypatch):
+    import random
+
+    from stratamine.operators import bands
+
+    rng = random.Random(9)
+    sets = {f"k{i:02}": frozenset(rng.sample(range(30), rng.randint(1, 15))) for i in range(40)} | {"z": frozenset(range(30))}
+    df = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s] + [(None, 3), ("k01", None)], "k string, m long")
+    hashes = hashing.family(6)
+    least = {k: [min((a * m + b) % hashing.PRIME for m in s) for _, a, b in hashes] for k, s in sets.items()}
+    near = [(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b and any(x == y for x, y in zip(least[a], least[b], strict=True))]
+    want = sorted((a, b, n, round(n / m, 6)) for a, b, n, m in near if n / m >= 0.3 and n >= 3)
+    for most, chunk, looked in ((4_000_000, 1 << 20, 1 << 21), (60, 5, 20)):
+        monkeypatch.setattr(bands, "PAIRS", most)
+        monkeypatch.setattr(bands, "CHUNK", chunk)
+        monkeypatch.setattr(bands, "LOOKED", looked)
+        monkeypatch.setattr(bands, "CELLS", 40)
+        found = similarity.banded_similar(df, "k", "m", F.col("m"), hashes, 0.3, 3)
+        assert "explode" not in found._jdf.queryExecution().toString()  # no set is sent once for each function
+        assert sorted(map(tuple, found.collect())) == want
+    assert {tuple(r) for r in similarity.banded_pairs(similarity.signatures(df.where("k is not null and m is not null"), "k", F.col("m"), hashes)).collect()} == {p[:2] for p in near}
