@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamine.functions.settle import settle
+from stratamine.operators.growth import grown
 
 
 def baskets(df: DataFrame, basket: str, item: str, more_than: int = 0) -> DataFrame:
@@ -20,19 +21,14 @@ def entries(df: DataFrame, basket: str, item: str) -> DataFrame:
     return df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct()
 
 
-def frequent(rows: DataFrame, k: int, support: int) -> DataFrame:
+def frequent(rows: DataFrame, k: int, support: int, deal: int | None = None) -> DataFrame:
     """Itemsets of k items in at least ``support`` baskets: items (sorted array) and support.
 
-    Level by level: each level joins baskets' entries, kept to frequent items, on the basket in item order, so a
-    candidate is a set that occurs; rows of sets that are not frequent one level below are dropped first.
+    Level by level, where the baskets of an item are: rows of sets that are not frequent one level below go no further.
     """
-    singles = rows.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support)
-    kept = rows.join(singles.select("item"), "item", "left_semi")
-    level, found = kept.select("basket", F.array("item").alias("items")), singles.select(F.array("item").alias("items"), "support")
-    for _ in range(1, k):
-        level = level.join(found.select("items"), "items", "left_semi").join(kept, "basket").where(F.col("item") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("item")).alias("items"))
-        found = level.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support)
-    return found
+    if k == 1:
+        return rows.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support).select(F.array("item").alias("items"), "support")
+    return grown(rows, support, k, deal)
 
 
 def bucket_of(a: Column, b: Column, buckets: int) -> Column:
@@ -83,10 +79,7 @@ def count_candidates(rows: DataFrame, candidates: DataFrame, support: int) -> Da
     return hits.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support)
 
 
-def by_growth(rows: DataFrame, support: int, total: int) -> DataFrame:
-    """Frequent itemsets of every size by pattern growth."""
-    from pyspark.ml.fpm import FPGrowth
-
-    sets = rows.groupBy("basket").agg(F.collect_list("item").alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=(support - 0.5) / total, minConfidence=1.0).fit(sets)
-    return model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").alias("support"))
+def by_growth(rows: DataFrame, support: int, total: int | None = None, deal: int | None = None) -> DataFrame:
+    """Frequent itemsets of every size by pattern growth: items (sorted array) and support. Rows are distinct (basket,
+    item); the support is a number of baskets, so their total is not needed."""
+    return grown(rows, support, deal=deal)

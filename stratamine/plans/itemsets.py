@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratamine.functions.settle import dealt
 from stratamine.operators import itemsets
-from stratamine.plans.registry import query, table
+from stratamine.plans.registry import parts, query, table
 
 SUPPORT, TRIPLES, CHUNKS = 30, 5, 3
 E = "(SELECT DISTINCT l_orderkey AS basket, l_suppkey AS item FROM lineitem)"
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return itemsets.entries(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    return itemsets.entries(dealt(lines, parts(spark, sf_dir), "l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey")
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -42,12 +44,12 @@ def frequent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRS.format(SUPPORT))
 def frequent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(itemsets.frequent(_rows(spark, sf_dir), 2, SUPPORT))
+    return _shown(itemsets.frequent(_rows(spark, sf_dir), 2, SUPPORT, parts(spark, sf_dir)))
 
 
 @query(THREES.format(TRIPLES))
 def frequent_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(itemsets.frequent(_rows(spark, sf_dir), 3, TRIPLES))
+    return _shown(itemsets.frequent(_rows(spark, sf_dir), 3, TRIPLES, parts(spark, sf_dir)))
 
 
 @query(PAIRS.format(SUPPORT))
@@ -76,6 +78,4 @@ def son_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVERY)
 def fpgrowth_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    total = rows.select("basket").distinct().count()
-    return _shown(itemsets.by_growth(rows, SUPPORT, total))
+    return _shown(itemsets.by_growth(_rows(spark, sf_dir), SUPPORT, deal=parts(spark, sf_dir)))

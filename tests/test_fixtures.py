@@ -337,3 +337,30 @@ def test_sets_meet_in_ranges_of_bands(spark, monkeypatch):
         assert "explode" not in found._jdf.queryExecution().toString()  # no set is sent once for each function
         assert sorted(map(tuple, found.collect())) == want
     assert {tuple(r) for r in similarity.banded_pairs(similarity.signatures(df.where("k is not null and m is not null"), "k", F.col("m"), hashes)).collect()} == {p[:2] for p in near}
+
+
+def test_sets_grow_where_an_items_baskets_are(spark, monkeypatch):
+    import random
+    from itertools import combinations
+
+    from stratamine.operators import pairs
+
+    rng = random.Random(2)
+    sets = [sorted(rng.sample("abcdefghij", rng.randint(1, 6))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "basket long, item string")
+    want = {}
+    for s in sets:
+        for k in range(1, 7):
+            for c in combinations(s, k):
+                want[c] = want.get(c, 0) + 1
+    want = {c: n for c, n in want.items() if n >= 4}
+    as_dict = lambda df: {tuple(r["items"]): r["support"] for r in df.collect()}
+    for most, chunk, batch in ((4_000_000, 1 << 20, 1 << 18), (90, 7, 5)):
+        monkeypatch.setattr(pairs, "PAIRS", most)
+        monkeypatch.setattr(pairs, "CHUNK", chunk)
+        monkeypatch.setattr(pairs, "BATCH", batch)
+        found = itemsets.by_growth(rows, 4)
+        assert as_dict(found) == want
+        assert as_dict(itemsets.frequent(rows, 3, 4)) == {c: n for c, n in want.items() if len(c) == 3}
+        assert "hashpartitioning(items" not in itemsets.frequent(rows, 2, 4)._jdf.queryExecution().toString()  # no candidate is moved
+    assert as_dict(itemsets.by_growth(rows.where("basket < 1 and item = 'q'"), 1)) == {}
