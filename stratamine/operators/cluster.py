@@ -6,10 +6,12 @@ from functools import reduce
 from math import sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamine.functions.settle import settle
+from stratamine.functions.ship import ship
 
 
 def squared(x: str | Column, y: str | Column) -> Column:
@@ -41,17 +43,70 @@ def means(points: DataFrame, cluster: str) -> list[tuple[int, list[float]]]:
 def farthest_first(points: DataFrame, k: int) -> list[tuple[int, list[float]]]:
     """k starting centres: the point with the smallest id, then each time the one farthest from all so far, equal ones
     by smallest id. Fewer points than k: all of them."""
+    ship(points.sparkSession)
     first = points.orderBy("id").limit(1).collect()
     chosen = [(r["id"], list(r["x"])) for r in first]
+    kind = points.schema["id"].dataType.simpleString()
+
+    def farthest(batches):
+        for batch in batches:
+            if len(batch):
+                gap = gaps(matrix(batch.column(1), centres.shape[1]), centres).min(1)
+                gap = np.where(np.isnan(gap), -1.0, gap)
+                ids = batch.column(0).take(pa.array(np.flatnonzero(gap == gap.max())))
+                least = min(ids.to_pylist(), key=lambda i: (i is not None, i))
+                at = int(np.flatnonzero((gap == gap.max()) & np.array([i == least for i in batch.column(0).to_pylist()]))[0])
+                yield batch.slice(at, 1).append_column("d", pa.array(gap[at : at + 1]))
+
     while chosen and len(chosen) < k:
-        gap = nearest("x", chosen).getField("d")
-        row = points.select("id", "x", gap.alias("d")).orderBy(F.desc("d"), "id").limit(1).first()
-        if row is None or row["d"] == 0:
+        centres = np.array([y for _, y in chosen], float)
+        found = points.select("id", F.col("x").cast("array<double>").alias("x")).mapInArrow(farthest, f"id {kind}, x array<double>, d double")
+        row = found.orderBy(F.desc("d"), "id").limit(1).first()
+        if row is None or row["d"] <= 0:
             break
         chosen.append((row["id"], list(row["x"])))
     return chosen
 
 
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of numbers; one of another length is not a number in all places."""
+    sizes, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == dim).all():
+        return flat.reshape(-1, dim)
+    out = np.full((len(sizes), dim), np.nan)
+    out[sizes == dim] = flat[np.repeat(sizes == dim, sizes)].reshape(-1, dim)
+    return out
+
+
+def gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances [row, centre]."""
+    return np.stack([((x - y) ** 2).sum(1) for y in centres], 1)
+
+
+def _round(points: DataFrame, before: np.ndarray | None, centres: np.ndarray) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether a point's nearest centre changed, how many points each centre has, and their sums: a row for each task and
+    centre goes to the driver, and no point is written."""
+
+    def assign(batches):
+        n, total, moved = np.zeros(len(centres)), np.zeros(centres.shape), False
+        for batch in batches:
+            x = matrix(batch.column(0), centres.shape[1])
+            for low in range(0, len(x), 4096):
+                some = x[low : low + 4096]
+                at = gaps(some, centres).argmin(1)
+                moved = moved or (before is not None and bool((gaps(some, before).argmin(1) != at).any()))
+                n += np.bincount(at, minlength=len(centres))
+                total += (at == np.arange(len(centres))[:, None]).astype(float) @ np.nan_to_num(some)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int32()), pa.array(n), pa.array(list(total), pa.list_(pa.float64())), pa.array([moved] * len(n))], names=["c", "n", "total", "moved"])
+
+    n, total, moved = np.zeros(len(centres)), np.zeros(centres.shape), False
+    for r in points.select(F.col("x").cast("array<double>").alias("x")).mapInArrow(assign, "c int, n double, total array<double>, moved boolean").collect():
+        n[r["c"]] += r["n"]
+        total[r["c"]] += r["total"]
+        moved = moved or r["moved"]
+    return moved, n, total
+
+
 def first_by_hash(points: DataFrame, k: int) -> list[tuple[int, list[float]]]:
     """k starting centres: those points whose ids have the least hashes, which is as good as random and repeats."""
     rows = points.orderBy(F.xxhash64("id"), "id").limit(k).collect()
@@ -62,18 +117,18 @@ def kmeans(points: DataFrame, k: int, rounds: int = 30, start: str = "farthest")
     """id, x, cluster (numbered by the order of the starts), by Lloyd's rounds until no point moves. ``start``: "farthest"
     or "random". An empty cluster keeps its centre."""
     starts = {"farthest": farthest_first, "random": first_by_hash}[start]
+    points = settle(points)
     centres = [(i, y) for i, (_, y) in enumerate(starts(points, k))]
     if not centres:
         return points.withColumn("cluster", F.lit(0))
-    now = settle(points.withColumn("cluster", nearest("x", centres).getField("c")))
-    for _ in range(rounds):
-        centres = list((dict(centres) | dict(means(now, "cluster"))).items())
-        new = settle(now.withColumnRenamed("cluster", "before").withColumn("cluster", nearest("x", centres).getField("c")))
-        moved = new.where("cluster <> before").limit(1).count()
-        now = new.drop("before")
-        if not moved:
+    ship(points.sparkSession)
+    before, now = None, np.array([y for _, y in centres], float)
+    for done in range(rounds + 1):
+        moved, n, total = _round(points, before, now)
+        if done == rounds or (done and not moved):
             break
-    return now
+        before, now = now, np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], now)
+    return points.withColumn("cluster", nearest("x", list(enumerate(now.tolist()))).getField("c"))
 
 
 def mahalanobis(x: Column, n: float, total: list[float], squares: list[float]) -> Column:
@@ -156,11 +211,11 @@ class BFR:
 
     def first(self, points: DataFrame) -> None:
         start = settle(points.orderBy("id").limit(self.init))  # the start's size is the method's parameter
-        made = kmeans(start, min(self.alpha * self.k, start.count()), self.rounds)
+        made = settle(kmeans(start, min(self.alpha * self.k, start.count()), self.rounds))
         size = made.groupBy("cluster").agg(F.count("*").alias("n"))
         single = settle(made.join(size, "cluster").where("n = 1").select("id", "x"))
         rest = points.join(single.select("id"), "id", "left_anti")
-        done = kmeans(rest, self.k, 100)
+        done = settle(kmeans(rest, self.k, 100))
         self._fold(self.discard, self._summaries(done))
         self.next = max([self.next, *(c + 1 for c in self.discard)])
         self._keep(done)

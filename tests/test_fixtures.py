@@ -364,3 +364,24 @@ def test_sets_grow_where_an_items_baskets_are(spark, monkeypatch):
         assert as_dict(itemsets.frequent(rows, 3, 4)) == {c: n for c, n in want.items() if len(c) == 3}
         assert "hashpartitioning(items" not in itemsets.frequent(rows, 2, 4)._jdf.queryExecution().toString()  # no candidate is moved
     assert as_dict(itemsets.by_growth(rows.where("basket < 1 and item = 'q'"), 1)) == {}
+
+
+def test_rounds_of_k_means_write_no_points(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(8).normal(size=(300, 3)) * 5
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    centres = x[[0]]
+    while len(centres) < 4:
+        centres = np.concatenate([centres, x[[((x[:, None] - centres) ** 2).sum(2).min(1).argmax()]]])
+    rounds, at = 0, ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+    for _ in range(30):
+        before, rounds = at, rounds + 1
+        centres = np.stack([x[at == c].mean(0) for c in range(4)])
+        at = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        if (before == at).all():
+            break
+    settled = []
+    monkeypatch.setattr(cluster, "settle", lambda df, settle=cluster.settle: settled.append(1) or settle(df))
+    assert [r["cluster"] for r in cluster.kmeans(points, 4).orderBy("id").collect()] == at.tolist()
+    assert rounds > 3 and len(settled) == 1
