@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamine.functions.settle import dealt
 from stratamine.operators import pairs
 from stratamine.operators.pairs import cut, spans
 
@@ -39,6 +40,7 @@ def grow(first: np.ndarray, ends: np.ndarray, code: np.ndarray, width: int, supp
 
 def grown(rows: DataFrame, support: int, only: int | None = None, deal: int | None = None) -> DataFrame:
     """items (sorted array) and support of sets of ``only`` (two at least) items, or of every size."""
+    rows = dealt(rows, deal, "item")
     singles = rows.groupBy("item").agg(F.count("*").alias("support")).where(F.col("support") >= support)
     kept = rows.join(singles.select("item"), "item", "left_semi")
     kind = rows.schema["item"].dataType.simpleString()
